@@ -111,3 +111,9 @@ def fold_degrees(delta: Column) -> Column:
     """Difference of two headings folded to (-180, 180]."""
     folded = F.pmod(delta + 180.0, F.lit(360.0)) - 180.0
     return F.when((folded == -180.0) & (delta > 0), F.lit(180.0)).otherwise(folded)
+
+
+def hann_weight(offset: Column, size: int, floor: float = 1e-3) -> Column:
+    """Hann window value at `offset` of a window of `size` cells, floored."""
+    wave = 0.5 - 0.5 * F.cos(F.lit(2.0 * math.pi) * offset / F.lit(size - 1))
+    return F.greatest(wave, F.lit(floor))
