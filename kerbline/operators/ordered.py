@@ -68,6 +68,11 @@ def group_first(value: Column | str) -> Op:
     return Op("group_first", _col(value))
 
 
+def group_max(value: Column | str) -> Op:
+    """Largest value of the whole group."""
+    return Op("group_max", _col(value))
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -152,18 +157,34 @@ class Layout:
         if self.splits is None:
             return df.withColumn("_chunk", F.lit(0))
         at = F.struct(*self.order)
+        return self._with_cuts(df).withColumn("_chunk", _chunk_index(at)).drop("_cuts")
+
+    def _with_cuts(self, df: DataFrame) -> DataFrame:
         if self.keys:
-            df = df.join(F.broadcast(self.splits), list(self.keys), "left")
-        else:
-            one = self.splits.withColumn("_all", F.lit(0))
-            df = df.withColumn("_all", F.lit(0)).join(F.broadcast(one), "_all", "left").drop("_all")
-        steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_CHUNKS.bit_length() + 1))])
-        found = F.aggregate(
-            steps,
-            F.lit(0),
-            lambda pos, step: F.when(F.get(F.col("_cuts"), pos + step - 1) < at, pos + step).otherwise(pos),
-        )
-        return df.withColumn("_chunk", F.when(F.col("_cuts").isNull(), 0).otherwise(found)).drop("_cuts")
+            return df.join(F.broadcast(self.splits), list(self.keys), "left")
+        one = self.splits.withColumn("_all", F.lit(0))
+        return df.withColumn("_all", F.lit(0)).join(F.broadcast(one), "_all", "left").drop("_all")
+
+    def trailing(self, df: DataFrame, width: int, **aggs: Column) -> DataFrame:
+        """Aggregates over the rows whose (single, integer) order key lies in [key - width, key].
+
+        Rows within `width` of a later chunk are copied into it, so each chunk is
+        complete on its own.
+        """
+        (key,) = self.order
+
+        def over(window: Window) -> list[Column]:
+            frame = window.orderBy(key).rangeBetween(-width, Window.currentRow)
+            return [agg.over(frame).alias(name) for name, agg in aggs.items()]
+
+        parts = [F.col(k) for k in self.keys] or [F.lit(0)]
+        if self.splits is None:
+            return df.select("*", *over(Window.partitionBy(*parts)))
+        rows = self._with_cuts(df).withColumn("_own", _chunk_index(F.struct(key)))
+        last = _chunk_index(F.struct((F.col(key) + width).cast(df.schema[key].dataType).alias(key)))
+        rows = rows.withColumn("_chunk", F.explode(F.sequence(F.col("_own"), last))).drop("_cuts")
+        rows = rows.select("*", *over(Window.partitionBy(*parts, F.col("_chunk"))))
+        return rows.where(F.col("_chunk") == F.col("_own")).drop("_chunk", "_own")
 
     def scan(self, df: DataFrame, **ops: Op) -> DataFrame:
         """`df` plus one column per op, computed in (keys, order)."""
@@ -200,6 +221,17 @@ class Layout:
         )
 
 
+def _chunk_index(at: Column) -> Column:
+    """Number of cut points below `at`, by binary search over `_cuts`; 0 without cuts."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_CHUNKS.bit_length() + 1))])
+    found = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda pos, step: F.when(F.get(F.col("_cuts"), pos + step - 1) < at, pos + step).otherwise(pos),
+    )
+    return F.when(F.col("_cuts").isNull(), 0).otherwise(found)
+
+
 def _whole(window: Window) -> Window:
     return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -232,6 +264,8 @@ def _plain(op: Op, w: Window) -> Column:
             return F.first(op.value, ignorenulls=True).over(_onward(w))
         case "group_first":
             return F.first(op.value, ignorenulls=True).over(_whole(w))
+        case "group_max":
+            return F.max(op.value).over(_whole(w))
     raise ValueError(f"unknown op {op.kind}")
 
 
@@ -252,7 +286,7 @@ def _summary(op: Op, at: Column) -> Column:
             return F.min_by(F.struct(op.value.alias("v")), at)
         case "running_sum":
             return F.sum(op.value)
-        case "running_max":
+        case "running_max" | "group_max":
             return F.max(op.value)
         case "last_valid":
             return F.max_by(op.value, F.when(op.value.isNotNull(), at))
@@ -281,6 +315,8 @@ def _carry(op: Op, part: Column, across: Window) -> Column:
             return F.first(part, ignorenulls=True).over(after)
         case "group_first":
             return F.first(part, ignorenulls=True).over(_whole(across))
+        case "group_max":
+            return F.max(part).over(_whole(across))
     raise ValueError(f"unknown op {op.kind}")
 
 
@@ -292,7 +328,7 @@ def _combine(op: Op, local: Column, carry: Column) -> Column:
             return F.when(local.isNull() | carry.isNull(), F.coalesce(local, carry)).otherwise(local + carry)
         case "running_max":
             return F.greatest(local, carry)
-        case "group_count" | "group_first":
+        case "group_count" | "group_first" | "group_max":
             return F.coalesce(carry, local)
         case "lag" | "lead":
             return F.coalesce(local, carry)["v"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbline.plans import frames, similarity  # noqa: F401
+from kerbline.plans import frames, similarity, tracks  # noqa: F401
 from kerbline.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "A2_similarity_vote"

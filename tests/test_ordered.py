@@ -20,7 +20,7 @@ def rows(spark):
 def ops():
     return dict(
         rn=O.row_number(), n=O.group_count(), prev=O.lag("v"), nxt=O.lead("v"), total=O.running_sum("v"),
-        top=O.running_max("v"), last=O.last_valid("v"), fore=O.next_valid("v"), first=O.group_first("v"),
+        top=O.running_max("v"), last=O.last_valid("v"), fore=O.next_valid("v"), first=O.group_first("v"), most=O.group_max("v"),
     )
 
 
@@ -53,3 +53,12 @@ def test_page_matches_slice(rows):
     near = O.page(rows, ["t", "id"], 40, 10)
     deep = O.page(rows, ["t", "id"], 40, 10, window=5)
     assert [r["id"] for r in near.collect()] == ids[40:50] == [r["id"] for r in deep.collect()]
+
+
+def test_trailing_window_across_chunks(rows):
+    keyed = rows.withColumn("k", (F.col("t") * 1000 + F.col("id") % 1000).cast("long"))
+    aggs = dict(n=F.count("id"), s=F.sum("v"))
+    plain = O.KeyProfile.of(keyed, ["key"], max_rows=10**9).layout(keyed, ["k"]).trailing(keyed, 7000, **aggs)
+    cut = O.KeyProfile.of(keyed, ["key"], max_rows=40).layout(keyed, ["k"])
+    assert cut.splits is not None
+    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.trailing(keyed, 7000, **aggs).collect()))
