@@ -267,7 +267,7 @@ def p8(spark, sf_dir):
 @query("P9_tile_overlap_labels", f"""WITH {SQL_BOXES},
     g AS (SELECT row_id, unnest([0, 1]) AS r FROM v_manifest), t AS (SELECT *, unnest([0, 1, 2]) AS c FROM g),
     px AS (SELECT row_id, bx * 6.0 AS x, b_y * 4.0 AS y, bw * 6.0 AS w, bh * 4.0 AS h FROM boxes WHERE (row_id + j) % 4 <> 1),
-    o AS (SELECT t.row_id, r, c, max(CASE WHEN least((c + 1) * 200, x + w) > greatest(c * 200, x) AND least(200 + (r + 1) * 100, y + h) > greatest(200 + r * 100, y)
+    o AS (SELECT t.row_id, r, c, max(CASE WHEN x IS NOT NULL AND least((c + 1) * 200, x + w) > greatest(c * 200, x) AND least(200 + (r + 1) * 100, y + h) > greatest(200 + r * 100, y)
         THEN (least((c + 1) * 200, x + w) - greatest(c * 200, x)) * (least(200 + (r + 1) * 100, y + h) - greatest(200 + r * 100, y)) / 20000 ELSE 0 END) AS share FROM t LEFT JOIN px USING (row_id) GROUP BY ALL)
     SELECT row_id AS image_id, 'tile_' || (r * 3 + c) AS tile, CAST(coalesce(share, 0) > 0.10 AS INTEGER) AS has_crack FROM o""", ("v_manifest",))
 def p9(spark, sf_dir):

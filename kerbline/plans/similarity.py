@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions.vectors import l2_normalise, norm
 from kerbline.operators import knn as K
+from kerbline.operators.clusters import vector_sums
 from kerbline.plans import views
 from kerbline.plans.registry import query
 
@@ -158,13 +159,10 @@ def a19(spark, sf_dir):
     return K.calibrated_threshold(means).select(F.round("threshold", 6).alias("threshold"))
 
 
-def surface_centroids(spark, sf_dir):
-    """Mean train vector per label: one bounded row per class, built by per-component sums."""
+def label_centroids(spark, sf_dir):
+    """Mean train vector per label: one row per class."""
     train = views.v_embed(spark, sf_dir).where("split = 'train'")
-    parts = train.select("label", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy(F.col("label").alias("cluster")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+    return vector_sums(train, "label").select(F.col("label").alias("cluster"), F.col("vector_mean").alias("embedding"))
 
 
 @query("J2_nearest_centroid", """
@@ -177,4 +175,4 @@ def surface_centroids(spark, sf_dir):
       (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY sim DESC, cluster) AS o FROM s) WHERE o = 1""", ("v_embed",))
 def j2(spark, sf_dir):
     e = views.v_embed(spark, sf_dir)
-    return K.nearest_centroid(e, surface_centroids(spark, sf_dir)).select("image_id", "kmeans_cluster")
+    return K.nearest_centroid(e, label_centroids(spark, sf_dir)).select("image_id", "kmeans_cluster")
