@@ -13,6 +13,7 @@ from kerbline.operators import knn as K
 from kerbline.operators import metrics as M
 from kerbline.plans import views
 from kerbline.plans.corpus import manifest
+from kerbline.plans.frames import SQL_GATED, gated
 from kerbline.plans.registry import query
 from kerbline.plans.similarity import SQL_DISTANCE, SQL_NEIGHBOURS
 from kerbline.plans.views import LABEL_THRESHOLDS
@@ -222,10 +223,10 @@ def r9(spark, sf_dir):
     })
 
 
-@query("R9_gating_expectations", """SELECT 'gated_flags_off_concrete' AS check, true AS passed UNION ALL SELECT 'surface_present', true""", ("v_tiles",))
+@query("R9_gating_expectations", f"""WITH {SQL_GATED} SELECT 'gated_flags_off_concrete' AS check, count(*) FILTER (WHERE surface_type IN ('asphalt','unpaved','paving_stones','sett','gravel','mud')
+      AND ({" OR ".join(f"{x}_flag" for x in vocab.GATED_LABELS)})) = 0 AS passed FROM gated
+    UNION ALL SELECT 'surface_present', count(*) FILTER (WHERE surface_type IS NULL) = 0 FROM gated""", ("v_tiles",))
 def r9_gating(spark, sf_dir):
-    from kerbline.plans.frames import gated
-
     wrong = F.lit(False)
     for x in vocab.GATED_LABELS:
         wrong = wrong | F.col(f"{x}_flag")
