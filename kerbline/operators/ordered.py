@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.session import MAX_ROWS_PER_TASK, int_setting
+from kerbline.session import MAX_ROWS_PER_TASK, cut_lineage, int_setting
 
 # No chunk may exceed this share of all rows, so the split table has at most
 # about twice as many entries and is safe to broadcast.
@@ -198,7 +198,9 @@ class Layout:
         return Window.partitionBy(*cols).orderBy(*self.order)
 
     def _scan_chunks(self, df: DataFrame, ops: dict[str, Op]) -> DataFrame:
-        rows = self.chunk(df)
+        # The rows are read twice, for the summary and for the scan. Cutting the lineage here keeps
+        # a chain of scans linear: without it every scan would run all earlier ones twice.
+        rows = cut_lineage(self.chunk(df))
         at = F.struct(*self.order)
         names = list(ops)
         part = rows.groupBy(*self.keys, "_chunk").agg(

@@ -157,24 +157,28 @@ def interpolate_track(
     """Each sample (session_id, t, ...) with every track column interpolated at its time.
 
     Samples and track points go through one sort per session; each column ignores
-    its own nulls and is clamped outside its first and last point.
+    its own nulls and is clamped outside its first and last point. Track points that
+    share a time are told apart by the rest of `track_order`.
     """
     values = list(values)
     if heading:
         track = unwrap_heading(track, track_order)
         values = [*values, "heading_unwrapped"]
     others = [c for c in samples.columns if c not in (SESSION, "t")]
+    tie = list(track_order)[1:]
     left = samples.select(
         SESSION, F.col("t").cast("double").alias("t"), F.lit(1).alias("_kind"),
+        *[F.lit(None).cast(track.schema[c].dataType).alias(f"_tie_{c}") for c in tie],
         *others, *[F.lit(None).cast("double").alias(f"_v_{c}") for c in values],
     )
     types = dict(samples.dtypes)
     right = track.select(
         SESSION, F.col("t").cast("double").alias("t"), F.lit(0).alias("_kind"),
+        *[F.col(c).alias(f"_tie_{c}") for c in tie],
         *[F.lit(None).cast(types[c]).alias(c) for c in others], *[F.col(c).cast("double").alias(f"_v_{c}") for c in values],
     )
     both = left.unionByName(right)
-    layout = KeyProfile.of(both, [SESSION]).layout(both, ["t", "_kind"])
+    layout = KeyProfile.of(both, [SESSION]).layout(both, ["t", "_kind", *[f"_tie_{c}" for c in tie]])
     ops = {}
     for c in values:
         ops[f"_lo_{c}"] = last_valid(point("t", f"_v_{c}"))

@@ -136,14 +136,14 @@ def sql_asof(values: dict[str, str], track: str = "timed", samples_: str = "samp
     cases = ", ".join(f"CASE WHEN {values[c]} IS NOT NULL THEN {{'x': t, 'y': CAST({values[c]} AS DOUBLE)}} END AS p_{c}" for c in cols)
     nulls = ", ".join("NULL" for _ in cols)
     ends = ", ".join(
-        f"last_value(p_{c} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo_{c}, "
-        f"first_value(p_{c} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t, kind ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi_{c}"
+        f"last_value(p_{c} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t, kind, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo_{c}, "
+        f"first_value(p_{c} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t, kind, tie ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi_{c}"
         for c in cols
     )
     out = ", ".join(f"{sql_lerp('t', f'lo_{c}', f'hi_{c}')} AS {c}" for c in cols)
     return f"""
-  u AS (SELECT session_id, t, 0 AS kind, NULL AS sample_id, {cases} FROM {track}
-        UNION ALL SELECT session_id, t, 1, sample_id, {nulls} FROM {samples_}),
+  u AS (SELECT session_id, t, 0 AS kind, point_id AS tie, NULL AS sample_id, {cases} FROM {track}
+        UNION ALL SELECT session_id, t, 1, NULL, sample_id, {nulls} FROM {samples_}),
   b AS (SELECT *, {ends} FROM u),
   interp AS (SELECT session_id, sample_id, t, {out} FROM b WHERE kind = 1)
 """
@@ -152,7 +152,7 @@ def sql_asof(values: dict[str, str], track: str = "timed", samples_: str = "samp
 @query("J3_track_interpolation", f"""WITH {SQL_TIMED}, {sql_asof({'lat': 'lat', 'lon': 'lon', 'alt_m': 'alt_m', 'speed_mps': 'speed_mps'})}
     SELECT session_id, sample_id, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt_m, 5) AS alt_m, round(speed_mps, 5) AS speed_mps FROM interp""", ("v_track",))
 def j3(spark, sf_dir):
-    out = T.interpolate_track(samples(spark, sf_dir), timed(spark, sf_dir), ["lat", "lon", "alt_m", "speed_mps"], heading=False)
+    out = T.interpolate_track(samples(spark, sf_dir), timed(spark, sf_dir), ["lat", "lon", "alt_m", "speed_mps"], heading=False, track_order=("t", "point_id"))
     return out.select("session_id", "sample_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
                       F.round("alt_m", 5).alias("alt_m"), F.round("speed_mps", 5).alias("speed_mps"))
 
@@ -160,7 +160,7 @@ def j3(spark, sf_dir):
 SQL_UNWRAPPED = """
   hs AS (SELECT *, heading_deg - lag(heading_deg) OVER (PARTITION BY session_id ORDER BY t, point_id) AS d FROM timed WHERE heading_deg IS NOT NULL),
   fold AS (SELECT *, CASE WHEN d IS NULL THEN 0 ELSE (CASE WHEN fmod(fmod(d + 180, 360) + 360, 360) - 180 = -180 AND d > 0 THEN 180 ELSE fmod(fmod(d + 180, 360) + 360, 360) - 180 END) END AS f FROM hs),
-  uw AS (SELECT session_id, t, first_value(heading_deg) OVER w + sum(f) OVER w AS h FROM fold WINDOW w AS (PARTITION BY session_id ORDER BY t, point_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  uw AS (SELECT session_id, t, point_id, first_value(heading_deg) OVER w + sum(f) OVER w AS h FROM fold WINDOW w AS (PARTITION BY session_id ORDER BY t, point_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 """
 
 
