@@ -22,7 +22,7 @@ def tile_boxes(width: Column, height: Column, cols: int = 3, rows: int | None =
     step_y = (height - top) / F.lit(rows)
 
     def edge(value: Column) -> Column:
-        return F.bround(value.cast("double"), 0).cast("int")
+        return F.rint(value.cast("double")).cast("int")
 
     boxes = [
         F.struct(

@@ -68,8 +68,8 @@ def _hash_order(df: DataFrame, id_column: str) -> DataFrame:
 
 def split_bounds(n: Column) -> tuple[Column, Column]:
     """End ranks of train and val for a stratum of n rows."""
-    train = F.greatest(F.lit(1), F.bround(0.70 * n, 0).cast("bigint"))
-    val = F.greatest(F.lit(1), F.bround(0.15 * n, 0).cast("bigint"))
+    train = F.greatest(F.lit(1), F.rint(0.70 * n).cast("bigint"))
+    val = F.greatest(F.lit(1), F.rint(0.15 * n).cast("bigint"))
     tight = train + val >= n
     t = F.when(tight, F.greatest(F.lit(1), n - 2)).otherwise(train)
     v = t + F.when(tight, F.lit(1)).otherwise(val)

@@ -52,53 +52,66 @@ def median_grade(counts: list[Column]) -> Column:
         return cases
 
     pair = at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))
-    return F.when(total > 0, F.bround(pair / 2.0, 0).cast("int"))
+    return F.when(total > 0, F.rint(pair / 2.0).cast("int"))
 
 
-def frame_rollup(tiles: DataFrame, labels: list[str], keys: tuple[str, ...] = ("frame_index",)) -> DataFrame:
-    """Gated tiles to one row per frame: grade, surface, ratios, and the raw material of the defect signals."""
+def frame_rollup(tiles: DataFrame, labels: list[str], keys: tuple[str, ...] = ("frame_index", "source_path", "filename")) -> DataFrame:
+    """Gated tiles to one row per frame: grade, surface, ratios, and the raw material of the defect signals.
+
+    The frame's own text columns are grouping keys, so that every buffer has a fixed
+    width and the hash aggregate applies.
+    """
     road = ~F.col("non_road")
     quality, surface = F.col("predicted_quality"), F.col("surface_type")
-
-    def share(flag: Column) -> Column:
-        return F.coalesce(F.avg(F.when(road, flag.cast("double"))), F.lit(0.0))
-
     aggs = [F.count_if(road & (quality == g)).alias(f"_q{g}") for g in vocab.QUALITY_GRADES]
     for i, name in enumerate(TILE_SURFACES):
         aggs.append(F.count_if(road & (surface == name)).alias(f"_s{i}"))
         aggs.append(F.min(F.when(road & (surface == name), F.col("tile_pos"))).alias(f"_f{i}"))
     aggs += [
-        F.count_if(road & ~F.coalesce(surface.isin(TILE_SURFACES), F.lit(False))).alias("_other"),
-        F.first("source_path").alias("source_path"),
-        F.first("filename").alias("filename"),
-        F.coalesce(F.avg(F.when(road, F.col("confidence"))), F.lit(0.0)).alias("confidence"),
+        F.sum(F.when(road, F.col("confidence"))).alias("_conf"),
         F.count_if(road).alias("road_tile_count"),
         F.count(F.lit(1)).alias("tile_count"),
-        share(F.col("tile_crack")).alias("crack_ratio"),
-        F.coalesce(F.max(F.when(road, F.col("tile_crack_prob"))), F.max("tile_crack_prob")).alias("max_crack_prob"),
+        F.count_if(road & F.col("tile_crack")).alias("_cracked"),
+        F.max(F.when(road, F.col("tile_crack_prob"))).alias("_road_crack_prob"),
         F.max("tile_crack_prob").alias("_any_crack_prob"),
     ]
     for label in labels:
         ok, prob, raw, flag = (F.col(f"{label}_{x}") for x in ("applicable", "prob", "prob_raw", "flag"))
         aggs += [
-            share(flag).alias(f"defect_{label}_ratio"),
-            F.bool_or(ok).alias(f"_{label}_seen"),
-            F.avg(F.when(ok, flag.cast("double"))).alias(f"_{label}_share"),
+            F.count_if(road & flag).alias(f"_{label}_road"),
+            F.count_if(ok).alias(f"_{label}_ok"),
+            F.count_if(ok & flag).alias(f"_{label}_hits"),
             F.max(F.when(ok, prob)).alias(f"_{label}_prob"),
             F.max(F.coalesce(raw, prob)).alias(f"_{label}_raw"),
         ]
     g = tiles.groupBy(*keys).agg(*aggs)
+    n = F.col("road_tile_count")
     votes = [F.struct(F.col(f"_s{i}").alias("n"), (-F.col(f"_f{i}")).alias("p"), F.lit(s).alias("s")) for i, s in enumerate(TILE_SURFACES)]
-    mode = F.when(F.col("_other") > 0, F.raise_error(F.lit("tile surface outside the vocabulary"))).otherwise(F.greatest(*votes)["s"])
-    has_road = F.col("road_tile_count") > 0
-    g = g.withColumn("predicted_quality", median_grade([F.col(f"_q{q}") for q in vocab.QUALITY_GRADES]))
-    g = g.withColumn("surface_type", F.when(has_road, mode).otherwise("non_road"))
-    g = g.withColumn("frame_has_crack", F.col("crack_ratio") > 0)
-    g = g.select("*", *[(F.col(f"defect_{x}_ratio") > 0).alias(f"frame_has_defect_{x}") for x in labels])
+    counted = _plus([F.col(f"_s{i}") for i in range(len(TILE_SURFACES))])
+    mode = F.when(counted < n, F.raise_error(F.lit("tile surface outside the vocabulary"))).otherwise(F.greatest(*votes)["s"])
+
+    def per_road(total: Column) -> Column:
+        return F.when(n > 0, total / n).otherwise(F.lit(0.0))
+
+    out = g.select(
+        *keys,
+        median_grade([F.col(f"_q{q}") for q in vocab.QUALITY_GRADES]).alias("predicted_quality"),
+        F.when(n > 0, mode).otherwise("non_road").alias("surface_type"),
+        per_road(F.col("_conf")).alias("confidence"),
+        "road_tile_count",
+        "tile_count",
+        per_road(F.col("_cracked")).alias("crack_ratio"),
+        (F.col("_cracked") > 0).alias("frame_has_crack"),
+        F.coalesce("_road_crack_prob", "_any_crack_prob").alias("max_crack_prob"),
+        "_any_crack_prob",
+        *[per_road(F.col(f"_{x}_road")).alias(f"defect_{x}_ratio") for x in labels],
+        *[(F.col(f"_{x}_road") > 0).alias(f"frame_has_defect_{x}") for x in labels],
+        *[(F.col(f"_{x}_ok") > 0).alias(f"_{x}_seen") for x in labels],
+        *[F.try_divide(F.col(f"_{x}_hits").cast("double"), F.col(f"_{x}_ok").cast("double")).alias(f"_{x}_share") for x in labels],
+        *[F.col(f"_{x}_{y}") for x in labels for y in ("prob", "raw")],
+    )
     found = F.array_compact(F.array(*[F.when(F.col(f"frame_has_defect_{x}"), F.lit(x)) for x in labels]))
-    g = g.withColumn("structural_defects", found).withColumn("frame_has_structural_defect", F.size(found) > 0)
-    counters = [f"_q{q}" for q in vocab.QUALITY_GRADES] + [f"_{x}{i}" for x in "sf" for i in range(len(TILE_SURFACES))]
-    return g.drop(*counters, "_other")
+    return out.withColumn("structural_defects", found).withColumn("frame_has_structural_defect", F.size("structural_defects") > 0)
 
 
 def defect_signals(frames: DataFrame, labels: list[str], gating: Column | None = None) -> DataFrame:

@@ -339,7 +339,7 @@ def sample_boundaries(centers: DataFrame, order: Sequence[str], height: int, pro
     layout = (profile or KeyProfile.of(centers, [SESSION])).layout(centers, list(order))
     s = layout.scan(centers, _rn=row_number(), _n=group_count(), _prev=lag("center"))
     i = F.col("_rn") - 1
-    mid = F.bround((F.col("_prev") + F.col("center")) / 2.0, 0).cast("bigint")
+    mid = F.rint((F.col("_prev") + F.col("center")) / 2.0).cast("bigint")
     fits = F.lit(height) >= F.col("_n")
     shift = F.when(fits, i).otherwise(F.lit(0))
     s = layout.scan(s.withColumn("_m", F.when(i == 0, F.lit(0)).otherwise(mid - shift)), _top=running_max("_m"))

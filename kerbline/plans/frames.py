@@ -31,7 +31,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-frame crack measurements."""
     o = views.table(spark, sf_dir, "orders")
-    cents = F.bround(F.col("o_totalprice") * 100).cast("bigint")
+    cents = F.rint(F.col("o_totalprice") * 100).cast("bigint")
     k = F.col("o_orderkey")
     return o.select(
         k.alias("frame_index"),

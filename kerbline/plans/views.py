@@ -59,8 +59,8 @@ def v_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = _pick(F.col("l_orderkey") % 6, TILE_PATHS)
     name = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit(".jpg"))
-    pct = F.bround(F.col("l_discount") * 100).cast("int")
-    tax = F.bround(F.col("l_tax") * 100).cast("int")
+    pct = F.rint(F.col("l_discount") * 100).cast("int")
+    tax = F.rint(F.col("l_tax") * 100).cast("int")
     return li.select(
         F.col("l_orderkey").alias("frame_index"),
         (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 1_000 + F.col("l_suppkey") % 1_000).alias("tile_pos"),
@@ -96,7 +96,7 @@ def v_track(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 101 == 0, 0.0).when(i % 17 != 0, 48.0 + (i * 7 % 1000) / 100_000.0).alias("lat"),
         F.when(i % 101 == 0, 0.0).when(i % 17 != 0, 17.0 + (i * 11 % 1000) / 100_000.0).alias("lon"),
         F.when(i % 3 != 0, 100.0 + (i % 50) / 10.0).alias("alt_m"),
-        F.when(i % 5 != 0, F.bround(F.col("value") * 100).cast("bigint") % 3000 / 100.0).alias("speed_mps"),
+        F.when(i % 5 != 0, F.rint(F.col("value") * 100).cast("bigint") % 3000 / 100.0).alias("speed_mps"),
         F.when(i % 7 != 0, (i * 37 % 360).cast("double")).alias("heading_deg"),
     )
 
