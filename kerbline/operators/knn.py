@@ -149,7 +149,7 @@ def _knn_blocks(query, ref, keep, k, vector, r_id, q_id, payload, n_ref) -> Data
     )
     others = [F.first(c).alias(c) for c in kept if c != q_id]
     merged = flat.groupBy(q_id).agg(*others, F.slice(F.sort_array(F.collect_list("_e")), 1, k).alias("_top"))
-    return merged.select(*kept, *[F.transform("_top", lambda x, n=n: x[n]).alias(n) for n in names])
+    return merged.select(*kept, *[F.col(f"_top.{n}").alias(n) for n in names])
 
 
 def ranked(neighbours: DataFrame, keys: Sequence[str]) -> DataFrame:
