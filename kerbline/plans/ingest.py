@@ -54,7 +54,9 @@ def s9(spark, sf_dir):
 
 
 def stamp(ms):
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    """UTC wall clock of an epoch, whatever the session zone."""
+    utc = F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS")
 
 
 @query("S10_gpx_points", """SELECT point_id, CAST(utc_ms AS DOUBLE) AS utc_ms, lat, lon, alt_m, heading_deg FROM v_track WHERE lat IS NOT NULL""", ("v_track",))

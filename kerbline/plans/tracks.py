@@ -11,6 +11,7 @@ from kerbline.functions import geometry as G
 from kerbline.operators import motion as MO
 from kerbline.operators import rollup as R
 from kerbline.operators import tracks as T
+from kerbline.operators.ordered import KeyProfile
 from kerbline.plans import views
 from kerbline.plans.registry import query
 from kerbline.sinks import exports as X
@@ -197,8 +198,13 @@ def j5(spark, sf_dir):
 ORDER = ["t", "point_id"]
 
 
-def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.pair_measures(timed(spark, sf_dir), ORDER)
+def sessions(spark: SparkSession, sf_dir: str) -> KeyProfile:
+    """Session sizes, counted once on the base table and shared by every scan of a query."""
+    return KeyProfile.of(views.v_track(spark, sf_dir), ["session_id"])
+
+
+def paired(spark: SparkSession, sf_dir: str, profile: KeyProfile | None = None) -> DataFrame:
+    return T.pair_measures(timed(spark, sf_dir), ORDER, profile)
 
 
 def valid(a: str, o: str) -> str:
@@ -226,8 +232,9 @@ def w6(spark, sf_dir):
 
 @query("W7_chainage", f"WITH {SQL_PAIRS} SELECT session_id, sample_order, source AS distance_source, round(e - coalesce(g, 0), 4) AS start_m, round(e, 4) AS end_m FROM ch", ("v_track",))
 def w7(spark, sf_dir):
-    p = paired(spark, sf_dir)
-    c = T.chainage(p, T.session_medians(p), ORDER)
+    prof = sessions(spark, sf_dir)
+    p = paired(spark, sf_dir, prof)
+    c = T.chainage(p, T.session_medians(p, prof), ORDER, prof)
     return c.select("session_id", "sample_order", "distance_source", F.round("distance_start_m", 4).alias("start_m"), F.round("distance_end_m", 4).alias("end_m"))
 
 
@@ -236,8 +243,9 @@ def w7(spark, sf_dir):
       CASE WHEN d > greatest(25, 5 * coalesce(gm, sm, 0)) THEN 'gps_gap' END) AS reason, round(d, 5) AS distance_m, round(dt, 6) AS dt_s
     FROM pairs JOIN src USING (session_id) WHERE sample_order < n - 1 AND (dt > greatest(5, 3 * coalesce(tm, 1)) OR d > greatest(25, 5 * coalesce(gm, sm, 0)))""", ("v_track",))
 def w8(spark, sf_dir):
-    p = paired(spark, sf_dir)
-    g = T.gap_markers(p, T.session_medians(p))
+    prof = sessions(spark, sf_dir)
+    p = paired(spark, sf_dir, prof)
+    g = T.gap_markers(p, T.session_medians(p, prof))
     return g.select("session_id", F.col("sample_order").alias("after_sample_order"), "reason",
                     F.round("pair_distance_m", 5).alias("distance_m"), F.round("pair_dt_s", 6).alias("dt_s"))
 
@@ -316,8 +324,9 @@ def j11(spark, sf_dir):
       round(e - coalesce(g, 0), 4) AS start_m, round(e, 4) AS end_m, round((e - coalesce(g, 0) + e) / 2, 4) AS center_m
     FROM ch JOIN bounds USING (session_id, point_id)""", ("v_track",))
 def w15(spark, sf_dir):
-    p = T.pair_measures(centers(spark, sf_dir), ORDER)
-    c = T.sample_boundaries(T.chainage(p, T.session_medians(p), ORDER), ORDER, HEIGHT)
+    prof = sessions(spark, sf_dir)
+    p = T.pair_measures(centers(spark, sf_dir), ORDER, prof)
+    c = T.sample_boundaries(T.chainage(p, T.session_medians(p, prof), ORDER, prof), ORDER, HEIGHT, prof)
     a, b = F.col("distance_start_m"), F.col("distance_end_m")
     return c.select("session_id", "sample_order", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2.0).alias("y_center"),
                     (F.col("y1") - F.col("y0")).alias("height_px"), F.round(a, 4).alias("start_m"), F.round(b, 4).alias("end_m"),
@@ -494,13 +503,15 @@ def w10(spark, sf_dir):
 
 
 def pause_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MO.auto_pause(MO.motion_events(gps(spark, sf_dir), MO.trailing_variance(imu(spark, sf_dir), MOTION)), MOTION)
+    prof = sessions(spark, sf_dir)
+    variance = MO.trailing_variance(imu(spark, sf_dir), MOTION, profile=prof)
+    return MO.auto_pause(MO.motion_events(gps(spark, sf_dir), variance), MOTION, prof)
 
 
 @query("W11_stationary_runs", f"""WITH {SQL_PAUSE}, r AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY session_id ORDER BY utc_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM si)
     SELECT session_id, CAST(run AS BIGINT) AS run, min(utc_ms) AS start_ms, max(utc_ms) AS end_ms, count(*) AS samples, max(utc_ms) - min(utc_ms) > 3000 AS held FROM r WHERE stationary GROUP BY 1, 2""", ("v_track",))
 def w11(spark, sf_dir):
-    return MO.stationary_runs(pause_states(spark, sf_dir), MOTION)
+    return MO.stationary_runs(pause_states(spark, sf_dir), MOTION, sessions(spark, sf_dir))
 
 
 @query("X2_auto_pause_states", f"WITH {SQL_PAUSE} SELECT session_id, seq, kind, stationary, paused, segment FROM paused", ("v_track",))
