@@ -98,13 +98,16 @@ def infer_domain(source_path: Column, filename: Column, surface: Column) -> Colu
     )
 
 
-def label_applicable(label: str, surface: Column, domain: Column) -> Column:
-    if label not in vocab.GATED_LABELS:
-        return F.lit(True)
+def structural_context(surface: Column, domain: Column) -> Column:
+    """Concrete or an inferred structure, and no surface that rules concrete out."""
     kind = normalised_surface(surface)
     structural = F.lower(F.coalesce(domain, F.lit(""))).isin(vocab.STRUCTURAL_DOMAINS)
     return ~kind.isin(vocab.NON_CONCRETE_SURFACES) & ((kind == "concrete") | structural)
 
 
+def label_applicable(label: str, surface: Column, domain: Column) -> Column:
+    return structural_context(surface, domain) if label in vocab.GATED_LABELS else F.lit(True)
+
+
 def gated_probability(raw: Column, applicable: Column) -> Column:
     return F.when(applicable, raw).otherwise(F.lit(0.0))

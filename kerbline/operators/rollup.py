@@ -21,19 +21,20 @@ TILE_SURFACES = [*vocab.SURFACE_TYPES, "unknown"]
 def gate_tiles(tiles: DataFrame, thresholds: dict[str, float], crack_threshold: float, gating: bool = True) -> DataFrame:
     """Adds the tile domain, the crack flag and, per label, applicability, gated probability and flag."""
     domain = L.infer_domain(F.col("source_path"), F.col("filename"), F.col("surface_type"))
-    out = tiles.withColumn("defect_domain", domain).withColumn(
-        "tile_crack", F.coalesce(F.col("tile_crack_prob") >= crack_threshold, F.lit(False))
-    )
+    crack = F.coalesce(F.col("tile_crack_prob") >= crack_threshold, F.lit(False))
+    out = tiles.withColumns({"defect_domain": domain, "tile_crack": crack})
+    # The same test serves every gated label; it is evaluated once per tile.
+    out = out.withColumn("_gate", L.structural_context(F.col("surface_type"), F.col("defect_domain")))
     cols: list[Column] = []
     for label, cut in thresholds.items():
         raw = F.col(f"{label}_prob_raw")
-        ok = L.label_applicable(label, F.col("surface_type"), F.col("defect_domain")) if gating else F.lit(True)
+        ok = F.col("_gate") if gating and label in vocab.GATED_LABELS else F.lit(True)
         cols += [
             ok.alias(f"{label}_applicable"),
             L.gated_probability(raw, ok).alias(f"{label}_prob"),
             (ok & F.coalesce(raw >= cut, F.lit(False))).alias(f"{label}_flag"),
         ]
-    return out.select("*", *cols)
+    return out.select("*", *cols).drop("_gate")
 
 
 def _plus(values: list[Column]) -> Column:
@@ -118,6 +119,7 @@ def defect_signals(frames: DataFrame, labels: list[str], gating: Column | None =
     """Per label `signal_<label>: struct<present, probability, probability_raw, tile_ratio, applicable>`."""
     domain = L.infer_domain(F.col("source_path"), F.col("filename"), F.col("surface_type"))
     out = frames.withColumn("inferred_domain", domain)
+    out = out.withColumn("_gate", L.structural_context(F.col("surface_type"), F.col("inferred_domain")))
     on = F.lit(True) if gating is None else gating
     zero = F.lit(0.0)
     cols = []
@@ -131,8 +133,7 @@ def defect_signals(frames: DataFrame, labels: list[str], gating: Column | None =
             prob, raw = F.coalesce(best, ratio), F.coalesce(best, ratio)
         else:
             seen = F.col(f"_{label}_seen")
-            frame_ok = L.label_applicable(label, F.col("surface_type"), F.col("inferred_domain"))
-            applicable = ~on | frame_ok | seen
+            applicable = ~on | F.col("_gate") | seen
             ratio = F.when(seen, F.col(f"_{label}_share")).when(applicable, frame_ratio).otherwise(zero)
             present = F.when(seen, F.col(f"_{label}_share") > 0).otherwise(applicable & frame_flag)
             prob = F.coalesce(F.col(f"_{label}_prob"), F.when(applicable, frame_ratio), ratio)
@@ -148,7 +149,7 @@ def defect_signals(frames: DataFrame, labels: list[str], gating: Column | None =
                 applicable.alias("applicable"),
             ).alias(f"signal_{label}")
         )
-    return out.select("*", *cols)
+    return out.select("*", *cols).drop("_gate")
 
 
 def signals_long(frames: DataFrame, labels: list[str], keys: tuple[str, ...] = ("frame_index",)) -> DataFrame:
