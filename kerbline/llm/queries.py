@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import disclosure, encoding, exact, packing, resampling, windows
+from kerbline.llm import disclosure, encoding, exact, packing, passages, resampling, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(windows.drop_repeated_windows(_given(spark, sf_dir)).drop("kept_text"))
 
 
+@_query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(passages.drop_repeated_passages(_given(spark, sf_dir)).drop("kept_bytes"))
+
+
 @_query
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(disclosure.find_disclosures(_given(spark, sf_dir)))

@@ -99,8 +99,12 @@ def pack_pairs(high: np.ndarray, low: np.ndarray, again: np.ndarray, cuts: np.nd
     return some, sets
 
 
-def repeated_pairs(table: pa.Table, stage: int) -> pa.Table:
-    """For each block's keys of one shard, whether they occur again in any block."""
+def repeated_pairs(table: pa.Table, stage: int, speaks: bool = False) -> pa.Table:
+    """For each block's keys of one shard, whether they occur again in any block.
+
+    With `speaks`, a second bit per key: whether the block is the first that holds it.
+    """
+    table = table.take(pa.array(np.argsort(table.column("block").to_numpy(), kind="stable")))
     highs, lows, again = [], [], []
     for packed in table.column("sets").to_pylist():
         n = int.from_bytes(packed[:8], "little")
@@ -111,4 +115,10 @@ def repeated_pairs(table: pa.Table, stage: int) -> pa.Table:
     high, low, own = np.concatenate(highs), np.concatenate(lows).astype(np.uint64), np.concatenate(again)
     _, _, several, place = unique_pairs(high, low)
     several = several | (np.bincount(place, weights=own, minlength=len(several)) > 0)
-    return replies(table, stage, np.split(several[place], np.cumsum([len(h) for h in highs])[:-1]))
+    cuts = np.cumsum([len(h) for h in highs])[:-1]
+    bits = np.split(several[place], cuts)
+    if speaks:
+        first = np.zeros(len(place), bool)
+        first[np.unique(place, return_index=True)[1]] = True
+        bits = [np.concatenate(b) for b in zip(bits, np.split(first, cuts))]
+    return replies(table, stage, bits)
