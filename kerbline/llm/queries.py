@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import disclosure, encoding, exact, packing, passages, resampling, windows
+from kerbline.llm import disclosure, encoding, exact, packing, passages, resampling, similar, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,6 +55,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(disclosure.find_disclosures(_given(spark, sf_dir)))
 
 
+@_query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(similar.near_duplicates(_given(spark, sf_dir)))
+
+
 @_query
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(encoding.encode_rationales(_given(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")))

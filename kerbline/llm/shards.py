@@ -8,6 +8,9 @@ the input once blocks reach `BLOCK_BYTES`.
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +36,17 @@ def in_blocks(records: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return rows.repartition(n, "block")
 
 
+@contextmanager
+def stored_blocks(records: DataFrame, key: str, text: str, n: int):
+    """`in_blocks` as a bucketed table, for work of several jobs: each reads its blocks without a shuffle."""
+    spark, name = records.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    in_blocks(records, key, text, n).write.format("parquet").option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def ordered(block: pa.Table) -> tuple[pa.ChunkedArray, pa.Array]:
     """Ids and texts of a block in an order that does not depend on how its rows arrived."""
     texts = tx.plain(block.column("text"))
