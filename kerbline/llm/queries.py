@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import disclosure, encoding, exact, packing, passages, resampling, similar, windows
+from kerbline.llm import disclosure, encoding, exact, packing, passages, resampling, search, similar, windows, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,11 +65,24 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(encoding.encode_rationales(_given(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")))
 
 
+@_query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(packing.pack_sequences(_given(spark, sf_dir), tokenizer_file("word_bpe_49k.json")))
 
 
+@_query
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of `benchmark` with an item_id divisible by 20, searched in all documents."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(F.col("item_id") % 20 == 0)
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return documents(search.search_rationales(_given(spark, sf_dir), asked)).withColumnRenamed("query_id", "item_id")
+
+
 @_query
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(resampling.resample_quality(_given(spark, sf_dir), reviews(spark, sf_dir)))
@@ -80,6 +93,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(exact.exact_duplicates(_given(spark, sf_dir)))
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
+
 ORACLE["op10_exact_dedup"] = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents
