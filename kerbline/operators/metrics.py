@@ -285,14 +285,17 @@ def cluster_purity(df: DataFrame, cluster: str, labels: dict[str, Column]) -> Da
 def improvement_gates(
     baseline: DataFrame, candidate: DataFrame, max_accuracy_drop: float = 0.005
 ) -> DataFrame:
-    """Two one-row metric tables to pass flags and deltas."""
+    """Two one-row metric tables to pass flags and deltas.
+
+    Metrics are compared to nine digits: the last ones follow the order of summation.
+    """
     cols = ["quality_macro_f1", "surface_quality_silhouette", "type_accuracy"]
-    b = baseline.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.lit(1).alias("_k"))
-    c = candidate.select(*[F.col(x).alias(f"c_{x}") for x in cols], F.lit(1).alias("_k"))
+    b = baseline.select(*[F.round(c, 9).alias(f"b_{c}") for c in cols], F.lit(1).alias("_k"))
+    c = candidate.select(*[F.round(x, 9).alias(f"c_{x}") for x in cols], F.lit(1).alias("_k"))
     j = b.join(c, "_k").drop("_k")
     f1_up = F.col("c_quality_macro_f1") > F.col("b_quality_macro_f1")
     sil_up = F.col("c_surface_quality_silhouette") > F.col("b_surface_quality_silhouette")
-    acc_ok = F.col("c_type_accuracy") >= F.col("b_type_accuracy") - max_accuracy_drop
+    acc_ok = F.col("c_type_accuracy") >= F.round(F.col("b_type_accuracy") - max_accuracy_drop, 9)
     return j.select(
         "*",
         f1_up.alias("quality_pass"),

@@ -364,13 +364,9 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*picks)
 
 
-def page(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int, window: int = 100_000) -> DataFrame:
+def page(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
     """Rows offset .. offset+limit of the ordered table.
 
-    Pages near the front use the top-k operator; deeper ones range-partition the
-    sort instead of holding offset+limit rows in one place.
+    One task gathers offset + limit rows, so this is for pages near the front.
     """
-    ordered = df.orderBy(*order)
-    if offset + limit <= window:
-        return ordered.limit(offset + limit).offset(offset) if offset else ordered.limit(limit)
-    return ordered.offset(offset).limit(limit)
+    return df.orderBy(*order).offset(offset).limit(limit)

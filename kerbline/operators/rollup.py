@@ -70,6 +70,7 @@ def frame_rollup(tiles: DataFrame, labels: list[str], keys: tuple[str, ...] = ("
         aggs.append(F.min(F.when(road & (surface == name), F.col("tile_pos"))).alias(f"_f{i}"))
     aggs += [
         F.sum(F.when(road, F.col("confidence"))).alias("_conf"),
+        F.count_if(road & ~quality.isin(list(vocab.QUALITY_GRADES))).alias("_q_other"),
         F.count_if(road).alias("road_tile_count"),
         F.count(F.lit(1)).alias("tile_count"),
         F.count_if(road & F.col("tile_crack")).alias("_cracked"),
@@ -96,7 +97,7 @@ def frame_rollup(tiles: DataFrame, labels: list[str], keys: tuple[str, ...] = ("
 
     out = g.select(
         *keys,
-        median_grade([F.col(f"_q{q}") for q in vocab.QUALITY_GRADES]).alias("predicted_quality"),
+        F.when(F.col("_q_other") > 0, F.raise_error(F.lit("tile grade outside the vocabulary"))).otherwise(median_grade([F.col(f"_q{q}") for q in vocab.QUALITY_GRADES])).cast("int").alias("predicted_quality"),
         F.when(n > 0, mode).otherwise("non_road").alias("surface_type"),
         per_road(F.col("_conf")).alias("confidence"),
         "road_tile_count",

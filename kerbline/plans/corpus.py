@@ -104,11 +104,11 @@ def s5(spark, sf_dir):
     return SM.read_tile_labels(spark, folder)
 
 
-@query("S13_table_round_trip", "SELECT image_path, source_dataset, quality, has_crack FROM v_manifest WHERE split = 'val'", ("v_manifest",))
+@query("S13_table_round_trip", "SELECT image_path, source_dataset, quality, has_crack, split FROM v_manifest", ("v_manifest",))
 def s13(spark, sf_dir):
     path = work_path(spark, "manifest")
     ST.write_table(manifest(spark, sf_dir), path, partition_by=["split"])
-    return ST.read_table(spark, path).where("split = 'val'").select("image_path", "source_dataset", "quality", "has_crack")
+    return ST.read_table(spark, path).select("image_path", "source_dataset", "quality", "has_crack", "split")
 
 
 # --- boxes ------------------------------------------------------------------------------------------

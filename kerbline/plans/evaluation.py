@@ -189,9 +189,9 @@ def a12(spark, sf_dir):
     topp AS (SELECT head.split, true_quality AS y, topq.label AS p, true_surface AS ys, tops.label AS ps FROM head JOIN topq USING (image_id) JOIN tops USING (image_id)),
     {sql_classification('topp', 'y', 'p', False, 'bq')}, {sql_classification('topp', 'ys', 'ps', False, 'bs')}, {sql_classification('dpred', 'y', 'p', False, 'cq')}, {sql_classification('dpred', 'ys', 'ps', False, 'cs')},
     {sql_silhouette("surface_type || '__q' || (image_id % 2)", 'bsil')}, {sql_silhouette("surface_type || '__q' || quality", 'csil')},
-    j AS (SELECT (SELECT macro_f1 FROM bq WHERE split = 'val_test') AS bf, (SELECT macro_f1 FROM cq WHERE split = 'val_test') AS cf, (SELECT accuracy FROM bs WHERE split = 'val_test') AS ba, (SELECT accuracy FROM cs WHERE split = 'val_test') AS ca,
-      (SELECT silhouette FROM bsil) AS bsv, (SELECT silhouette FROM csil) AS csv)
-    SELECT cf > bf AS quality_pass, csv > bsv AS silhouette_pass, cf > bf AND csv > bsv AS phase_gate_pass, ca >= ba - 0.005 AS type_accuracy_pass, cf > bf AND ca >= ba - 0.005 AS candidate_accepted,
+    j AS (SELECT (SELECT round(macro_f1, 9) FROM bq WHERE split = 'val_test') AS bf, (SELECT round(macro_f1, 9) FROM cq WHERE split = 'val_test') AS cf, (SELECT round(accuracy, 9) FROM bs WHERE split = 'val_test') AS ba, (SELECT round(accuracy, 9) FROM cs WHERE split = 'val_test') AS ca,
+      (SELECT round(silhouette, 9) FROM bsil) AS bsv, (SELECT round(silhouette, 9) FROM csil) AS csv)
+    SELECT cf > bf AS quality_pass, csv > bsv AS silhouette_pass, cf > bf AND csv > bsv AS phase_gate_pass, ca >= round(ba - 0.005, 9) AS type_accuracy_pass, cf > bf AND ca >= round(ba - 0.005, 9) AS candidate_accepted,
       round(cf - bf, 6) AS quality_macro_f1_delta, round(ca - ba, 6) AS type_accuracy_delta FROM j""", ("v_embed",))
 def r8(spark, sf_dir):
     e = views.v_embed(spark, sf_dir)

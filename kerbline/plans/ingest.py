@@ -146,12 +146,13 @@ def p21(spark, sf_dir):
                     C.route_notice(F.col("kind"), F.col("parser"), F.col("has_start"), vocab.IMU_ROUTE_NOTICE).alias("notice"), C.speed_label(F.col("kind")).alias("speed_label"))
 
 
-@query("P22_coordinate_text", """SELECT point_id, lat, lon, CASE WHEN point_id % 3 = 0 THEN alt_m END AS alt_m FROM v_track WHERE lat > 0""", ("v_track",))
+@query("P22_coordinate_text", """SELECT point_id, CASE WHEN lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL THEN lon END AS lon, CASE WHEN point_id % 3 = 0 AND lat IS NOT NULL AND lon IS NOT NULL THEN alt_m END AS alt_m FROM v_track""", ("v_track",))
 def p22(spark, sf_dir):
     i = F.col("point_id")
-    v = views.v_track(spark, sf_dir).where("lat > 0")
-    alt = F.coalesce(F.concat(F.lit("+"), F.col("alt_m").cast("string")), F.lit(""))
-    iso = F.concat(F.lit("+"), F.col("lat").cast("string"), F.lit("+"), F.col("lon").cast("string"), F.when(i % 3 == 0, alt).otherwise(""), F.lit("/"))
+    v = views.v_track(spark, sf_dir)
+    signed = lambda c: F.concat(F.when(F.col(c) < 0, "").otherwise("+"), F.col(c).cast("string"))
+    alt = F.coalesce(signed("alt_m"), F.lit(""))
+    iso = F.concat(signed("lat"), signed("lon"), F.when(i % 3 == 0, alt).otherwise(""), F.lit("/"))
     loose = F.concat(F.lit("at "), F.col("lat").cast("string"), F.lit(" , "), F.col("lon").cast("string"), F.when(i % 3 == 0, F.coalesce(F.concat(F.lit(" "), F.col("alt_m").cast("string")), F.lit(""))).otherwise(""))
     c = C.coordinate_triple(F.when(i % 2 == 0, iso).otherwise(loose))
     return v.select("point_id", c["lat"].alias("lat"), c["lon"].alias("lon"), c["alt"].alias("alt_m"))

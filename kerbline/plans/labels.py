@@ -116,13 +116,13 @@ def t1(spark, sf_dir):
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scatter points of the labeled and defect images on an integer grid."""
-    m = manifest(spark, sf_dir).where("row_id % 5 <> 4")
+    m = manifest(spark, sf_dir)
     return m.select(L.image_id(F.col("image_path")).alias("id"), "image_path", "source_dataset", "has_crack", "row_id",
                     (F.col("row_id") * 37 % 1009 / 100.0).alias("x"), (F.col("row_id") * 53 % 907 / 100.0).alias("y"))
 
 
 SQL_POINTS = """
-  pts AS (SELECT substr(md5(image_path), 1, 12) AS id, source_dataset, has_crack, row_id, (row_id * 37 % 1009) / 100.0::DOUBLE AS x, (row_id * 53 % 907) / 100.0::DOUBLE AS y FROM v_manifest WHERE row_id % 5 <> 4)
+  pts AS (SELECT substr(md5(image_path), 1, 12) AS id, source_dataset, has_crack, row_id, (row_id * 37 % 1009) / 100.0::DOUBLE AS x, (row_id * 53 % 907) / 100.0::DOUBLE AS y FROM v_manifest)
 """
 
 

@@ -437,10 +437,10 @@ def w13(spark, sf_dir):
     return T.every_nth(views.v_track(spark, sf_dir), ["utc_ms", "point_id"], target=20).select("session_id", "point_id")
 
 
-@query("W14_evenly_spaced", """WITH n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM v_track WHERE point_id % 20 = 0 WINDOW w AS (PARTITION BY session_id ORDER BY utc_ms, point_id))
+@query("W14_evenly_spaced", """WITH n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM v_track WINDOW w AS (PARTITION BY session_id ORDER BY utc_ms, point_id))
     SELECT session_id, point_id FROM n WHERE n < 4 OR i IN (0, (n - 1) // 3, 2 * (n - 1) // 3, n - 1)""", ("v_track",))
 def w14(spark, sf_dir):
-    v = views.v_track(spark, sf_dir).where("point_id % 20 = 0")
+    v = views.v_track(spark, sf_dir)
     return T.evenly_spaced(v, ["session_id"], ["utc_ms", "point_id"]).select("session_id", "point_id")
 
 
