@@ -34,6 +34,13 @@ def test_srt_file(spark, tmp_path):
     assert [(x["t"], x["lat"], x["alt_m"]) for x in r] == [(float(i), 48.5 + i, 12.5) for i in range(5)]
 
 
+def test_srt_file_with_other_line_ends(spark, tmp_path):
+    blocks = [f"{i}\r\n00:00:0{i},000 --> 00:00:0{i},900\r\n[latitude: {48 + i}.5] [longitude: 17.25]" for i in range(5)]
+    (tmp_path / "b.srt").write_bytes((" \r\n".join(b + "\r\n" for b in blocks)).encode())
+    r = SRC.read_srt(spark, str(tmp_path)).orderBy("t").collect()
+    assert [(x["t"], x["lat"]) for x in r] == [(float(i), 48.5 + i) for i in range(5)]
+
+
 def test_voc_and_defect_files(spark, tmp_path):
     (tmp_path / "voc").mkdir()
     box = "<bndbox><xmin>1.9</xmin><ymin>2</ymin><xmax>3</xmax></bndbox>"
