@@ -146,7 +146,9 @@ def chunk_bounds(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         lead[new], second[new] = byte[new], raw[np.maximum(where - back + 1, 0)][new]
     # White space beyond ASCII begins with C2, E1, E2 or E3 80.
     safe[wide] = ((lead >= 0xC3) & (lead <= 0xDF)) | ((lead == 0xE3) & (second != 0x80)) | (lead >= 0xE4)
-    return np.union1d(spot[safe], at)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[spot[safe]] = cut[at] = True
+    return np.flatnonzero(cut)
 
 
 def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
