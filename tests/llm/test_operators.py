@@ -1,6 +1,7 @@
 """Every operator against a plain computation over a small table with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kerbline.llm import disclosure, encoding, exact, packing, passages, queries, resampling, search, similar, suffixes, windows, wrappers
+from kerbline.llm import disclosure, encoding, exact, packing, passages, queries, resampling, search, similar, suffixes, tokens, windows, wrappers
 from kerbline.llm import text as tx
 from kerbline.llm.tokens import Encoder
 
@@ -308,3 +309,20 @@ def test_packed_numbers():
     assert (tx.unpack(tx.pack(values)) == values).all() and not len(tx.unpack(tx.pack(values[:0])))
     codes, at, distinct = tx.words(pa.array(["a  b c\td", "", " "], pa.large_string()))
     assert [distinct[c].as_py() for c in codes] == ["a", "b c", "d"] and at.tolist() == [0, 3, 3, 3]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("cache", [0, 50, 400_000])
+def test_encoder_deals_ids_of_joined_chunks_back(monkeypatch, name, cache):
+    """Ids equal the library's, whatever is remembered and however chunks are run together."""
+    monkeypatch.setattr(tokens, "CACHE", cache)
+    monkeypatch.setattr(tokens, "RUN", 7)
+    monkeypatch.setattr(tokens, "BATCH", 3)
+    rng = random.Random(5)
+    parts = ["a", "B", " ", "  ", "\n", "\t", " ", "　", "é", "́", "'s", "<|endoftext|>", "|>", "7", "!!", "\U0001f600", "中", "İ", "\x00", "word "]
+    texts = ["", " ", *("".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(600))]
+    encoder = tokens.Encoder(queries.tokenizer_file(name))
+    for own in (texts, texts[::-1], []):
+        ids, at = encoder.encode(tx.plain(pa.array(own, pa.large_string())))
+        want = [encoder.tok.encode(t, add_special_tokens=False).ids for t in own]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
