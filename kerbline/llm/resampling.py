@@ -20,10 +20,18 @@ BUCKETS = 1 << 18
 MAX_REVIEWED = 20_000
 #: Pseudo-count of both models, in tokens of the target.
 PRIOR = 5.0
-#: Share of accepted calibration rows that may fall below the cut.
+#: Pseudo-count of the word models, in reviewed rationales.
+WORD_PRIOR = 1.0
+#: Share of accepted calibration rows whose worst word is bad enough to count as evidence.
+SUSPECT = 0.05
+#: Share of accepted calibration rows that may fall below either cut.
 LOSS = 0.002
 #: Score units of one unit of Gumbel noise.
 TEMPERATURE = 0.002
+#: Counts of a bucket: occurrences in all rationales and in accepted ones, reviewed and accepted holders of a word.
+COUNTS = ("raw", "target", "known", "good")
+#: Score columns of a rationale.
+SCORES = ("log_ratio", "word_excess", "weight", "sample_key")
 #: Parts into which the range of sampling keys is cut in one pass.
 CUTS = 4096
 
@@ -43,18 +51,55 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _least(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Least value of each text, 0 for one without words."""
+    out, some = np.zeros(len(at) - 1), np.diff(at) > 0
+    if some.any():
+        out[some] = np.minimum.reduceat(values, at[:-1][some])
+    return out
+
+
+def _holders(buckets: np.ndarray, at: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """How many of the chosen texts hold each bucket."""
+    row = np.repeat(np.arange(len(texts)), np.diff(at))
+    chosen = texts[row]
+    held = np.unique(row[chosen] * BUCKETS + buckets[chosen]) % BUCKETS
+    return np.bincount(held, minlength=BUCKETS)
+
+
 @dataclass
 class RatioModel:
-    """Log ratio of target and raw model of each bucket, and the lowest score that counts as target."""
+    """Log ratios of target and raw model of each bucket, and the lowest scores that count as target.
 
-    weights: np.ndarray
-    cut: float | None
+    weights are those of all n-grams, by how often they occur; word_weights those of
+    words, by how many reviewed rationales hold them.
+    """
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Number of n-grams and mean log ratio of each text; a text without words scores 0."""
+    weights: np.ndarray
+    word_weights: np.ndarray
+    word_cut: float = -np.inf
+    excess_cut: float = 0.0
+    cut: float | None = None
+
+    def worst(self, texts: pa.Array) -> np.ndarray:
+        """Lowest word ratio of each text."""
+        one, at, _, _ = ngrams(texts)
+        return np.round(_least(self.word_weights[one], at), 9)
+
+    def ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of n-grams, mean log ratio, and how far the distinct words below `word_cut` are
+        below it together; without words both are 0."""
         one, at, two, at2 = ngrams(texts)
         n = np.diff(at) + np.diff(at2)
-        return n, np.round((_sums(self.weights[one], at) + _sums(self.weights[two], at2)) / np.maximum(n, 1), 9)
+        mean = (_sums(self.weights[one], at) + _sums(self.weights[two], at2)) / np.maximum(n, 1)
+        low = self.word_weights[one] < self.word_cut
+        bad = np.unique(np.repeat(np.arange(len(n)), np.diff(at))[low] * BUCKETS + one[low])
+        excess = np.bincount(bad // BUCKETS, self.word_weights[bad % BUCKETS] - self.word_cut, len(n)) if len(bad) else np.zeros(len(n))
+        return n, np.round(mean, 9), np.round(excess, 9)
+
+    def weight(self, mean: np.ndarray, excess: np.ndarray) -> np.ndarray:
+        """Mean log ratio, lowered where the bad words weigh more than in accepted rationales."""
+        return mean + np.minimum(0.0, excess - self.excess_cut)
 
     def keys(self, score: np.ndarray, names: list, texts: list[str]) -> np.ndarray:
         """Score plus Gumbel noise that depends on key and text only."""
@@ -70,42 +115,60 @@ def reviewed_sample(reviews: DataFrame, key: str, accepted: str, most: int = MAX
 
 
 def fit_ratio(assessments: DataFrame, reviews: DataFrame, key: str = "frame_index", text: str = "rationale", accepted: str = "accepted") -> RatioModel:
-    """Fit both models: raw on all rationales, target on the accepted half of the reviewed sample.
+    """Fit the models: raw on all rationales, target on the accepted half of the reviewed sample.
 
-    The cut is the lowest score but for `LOSS` among the accepted rows of the other half.
+    The word models count holders in the fitted half of the reviewed sample, all of them as
+    raw and the accepted ones as target, so a passage that many unreviewed rationales
+    share is no evidence. Cuts are low percentiles (`SUSPECT`, `LOSS`) of the accepted rows
+    of the other half, which nothing was fitted on.
     """
     sample = reviewed_sample(reviews, key, accepted)
     rows = assessments.select(key, text).join(F.broadcast(sample), key, "left")
 
     def count(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target, known, good = (np.zeros(BUCKETS, np.int64) for _ in range(4))
         for batch in batches:
             for part in tx.slices(batch, text):
                 one, at, two, at2 = ngrams(tx.plain(part.column(text)))
-                fits = pc.fill_null(pc.and_(part.column("fit"), pc.equal(part.column("target"), 1)), False).to_numpy(zero_copy_only=False)
+                fits = pc.fill_null(part.column("fit"), False).to_numpy(zero_copy_only=False)
+                likes = fits & pc.fill_null(pc.equal(part.column("target"), 1), False).to_numpy(zero_copy_only=False)
+                known += _holders(one, at, fits)
+                good += _holders(one, at, likes)
                 for buckets, begin in ((one, at), (two, at2)):
                     raw += np.bincount(buckets, minlength=BUCKETS)
-                    target += np.bincount(buckets[np.repeat(fits, np.diff(begin))], minlength=BUCKETS)
+                    target += np.bincount(buckets[np.repeat(likes, np.diff(begin))], minlength=BUCKETS)
         seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *[pa.array(c[seen]) for c in (raw, target, known, good)]], names=["bucket", *COUNTS])
 
-    counted = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = rows.mapInArrow(count, "bucket int, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in COUNTS])
     # One row per bucket: bounded by BUCKETS, whatever the number of rationales.
     got = counted.toPandas()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[got["bucket"]], target[got["bucket"]] = got["raw"], got["target"]
-    share = target.sum() / max(raw.sum(), 1)
-    weights = np.log(target + PRIOR) - np.log(raw * share + PRIOR) if share else np.zeros(BUCKETS)
-    model = RatioModel(weights, None)
-
-    def calibrate(batches):
-        for batch in batches:
-            for part in tx.slices(batch, text):
-                yield pa.RecordBatch.from_arrays([pa.array(model.score(tx.plain(part.column(text)))[1])], names=["score"])
-
-    if share:
-        held = rows.filter("target = 1 AND NOT fit").mapInArrow(calibrate, "score double")
-        model.cut = held.agg(F.percentile("score", F.lit(LOSS))).first()[0]
+    counts = np.zeros((len(COUNTS), BUCKETS))
+    counts[:, got["bucket"]] = got[list(COUNTS)].to_numpy().T
+    raw, target, known, good = counts
+    if not target.sum():
+        return RatioModel(np.zeros(BUCKETS), np.zeros(BUCKETS))
+    reviewed = rows.filter("fit").agg(F.count(F.lit(1)), F.sum("target")).first()
+    weights = np.log(target + PRIOR) - np.log(raw * (target.sum() / raw.sum()) + PRIOR)
+    word_weights = np.log(good + WORD_PRIOR) - np.log(known * (reviewed[1] / reviewed[0]) + WORD_PRIOR)
+    model = RatioModel(weights, word_weights)
+
+    def calibrate(score):
+        def run(batches):
+            for batch in batches:
+                for part in tx.slices(batch, text):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in score(tx.plain(part.column(text)))], names=["x", "y"])
+
+        return held.mapInArrow(run, "x double, y double")
+
+    held = cut_lineage(rows.filter("target = 1 AND NOT fit").select(text))
+    lowest = lambda df, x, share: df.agg(F.percentile(x, F.lit(share))).first()[0]
+    word_cut = lowest(calibrate(lambda t: (model.worst(t),) * 2), F.col("x"), SUSPECT)
+    if word_cut is not None:
+        model.word_cut = word_cut
+        scores = cut_lineage(calibrate(lambda t: model.ratios(t)[1:]))
+        model.excess_cut = lowest(scores, F.col("y"), LOSS)
+        model.cut = lowest(scores, F.col("x") + F.least(F.lit(0.0), F.col("y") - model.excess_cut), LOSS)
     return model
 
 
@@ -133,30 +196,35 @@ def _scored(assessments: DataFrame, model: RatioModel, key: str, text: str) -> D
         for batch in batches:
             for part in tx.slices(batch, text):
                 texts = tx.plain(part.column(text))
-                n, s = model.score(texts)
-                keys = model.keys(s, part.column(key).to_pylist(), texts.to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(s), pa.array(keys)], names=[key, "n_ngrams", "log_ratio", "sample_key"])
+                n, mean, excess = model.ratios(texts)
+                weight = model.weight(mean, excess)
+                keys = model.keys(weight, part.column(key).to_pylist(), texts.to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), *map(pa.array, (mean, excess, weight, keys))], names=[key, "n_ngrams", *SCORES])
 
     kind = assessments.schema[key].dataType.simpleString()
-    return cut_lineage(assessments.select(key, text).mapInArrow(score, f"`{key}` {kind}, n_ngrams long, log_ratio double, sample_key double"))
+    return cut_lineage(assessments.select(key, text).mapInArrow(score, f"`{key}` {kind}, n_ngrams long, " + ", ".join(f"{c} double" for c in SCORES)))
 
 
 def _sample_threshold(scored: DataFrame, model: RatioModel) -> float:
     if model.cut is None:
         return float("-inf")
-    k = scored.filter(F.col("log_ratio") >= model.cut).count()
+    k = scored.filter(F.col("weight") >= model.cut).count()
     found = _threshold(scored, k) if k else float("inf")
     return float("-inf") if found is None else found
 
 
 def resample_quality(assessments: DataFrame, reviews: DataFrame, key: str = "frame_index", text: str = "rationale", accepted: str = "accepted") -> DataFrame:
-    """Which rationales importance resampling keeps: `key`, n_ngrams, log_ratio, sample_key, kept.
+    """Which rationales importance resampling keeps: `key`, n_ngrams, log_ratio, word_excess, weight, sample_key, kept.
 
     Two bag-of-n-grams models over hashed words and word pairs of the lower-cased text:
     raw is fitted on all rationales, target on reviewed ones that were `accepted`
-    (a bounded sample, MAX_REVIEWED). A rationale's weight is its mean log ratio.
-    As many are sampled as reach the calibrated cut, by Gumbel top-k without
-    replacement: the noise depends on key and text, so a rerun samples the same rows.
+    (a bounded sample, MAX_REVIEWED). A rationale's weight is its mean log ratio
+    (log_ratio). A few words that accepted rationales never hold hardly move a mean; so
+    the shares of accepted and of all reviewed rationales that hold a word are compared
+    too. Distinct words below the worst words of accepted rationales add up (word_excess), and
+    what that sum is below its own cut lowers the weight. As many are sampled as reach the calibrated cut,
+    by Gumbel top-k without replacement: the noise depends on key and text, so a rerun
+    samples the same rows.
 
     `reviews` has `key` and `accepted`; rows with a null in either are left out and a key
     reviewed twice counts as accepted only if both were. Without reviews everything is
@@ -177,7 +245,7 @@ def keep_quality(assessments: DataFrame, reviews: DataFrame, key: str = "frame_i
         for batch in batches:
             for part in tx.slices(batch, text):
                 texts = tx.plain(part.column(text))
-                keys = model.keys(model.score(texts)[1], part.column(key).to_pylist(), texts.to_pylist())
+                keys = model.keys(model.weight(*model.ratios(texts)[1:]), part.column(key).to_pylist(), texts.to_pylist())
                 yield part.filter(pa.array(keys >= least))
 
     return assessments.mapInArrow(keep, assessments.schema)

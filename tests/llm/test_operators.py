@@ -245,6 +245,39 @@ def test_quality(spark, empty):
     assert resampling.resample_quality(df.filter("false"), reviews).count() == 0
 
 
+def test_quality_sees_a_few_bad_words(spark):
+    rude = {i for i in range(600) if i % 7 == 0}
+    shared = " ".join(f"notice{j}" for j in range(12))  # in many rationales, none of them reviewed
+    rows = []
+    for i in range(600):
+        words = prose(120).split()
+        if i in rude:
+            words[5 + i % 100] = "grot" + "ab"[i % 2]
+        elif i >= 400 and i % 3 == 0:
+            words[50:50] = shared.split()
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "frame_index long, rationale string")
+    reviews = spark.createDataFrame([(i, i not in rude) for i in range(400)], "frame_index long, accepted boolean")
+    got = {r["frame_index"]: r for r in resampling.resample_quality(df, reviews).collect()}
+    assert not any(got[i]["kept"] for i in rude)
+    plain = [i for i in got if i not in rude and "notice1" not in rows[i][1]]
+    assert sum(got[i]["kept"] for i in plain) >= 0.98 * len(plain)
+    # word_excess by plain counting
+    fit = {r["frame_index"]: r["target"] for r in resampling.reviewed_sample(reviews, "frame_index", "accepted").filter("fit").collect()}
+    sets = {i: set(t.split()) for i, t in rows}
+    rate = sum(fit.values()) / len(fit)
+
+    def ratio(w):
+        holders = [i for i in fit if w in sets[i]]
+        return np.log(sum(fit[i] for i in holders) + 1) - np.log(len(holders) * rate + 1)
+
+    model = resampling.fit_ratio(df, reviews)
+    held = [i for i in range(400) if i not in rude and i not in fit]
+    assert model.word_cut == pytest.approx(np.quantile([min(map(ratio, sets[i])) for i in held], resampling.SUSPECT), abs=1e-6)
+    for i in (7, 14, 3, 402):
+        assert got[i]["word_excess"] == pytest.approx(sum(min(0, ratio(w) - model.word_cut) for w in sets[i]), abs=1e-6)
+
+
 def df_lit():
     from pyspark.sql import functions as F
 
