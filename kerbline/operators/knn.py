@@ -7,6 +7,7 @@ column expressions on an array of k entries and need no further shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -14,13 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.session import MAX_BROADCAST_BYTES, int_setting
+from kerbline.session import MAX_BROADCAST_BYTES, cut_lineage, int_setting
 from kerbline.vocab import NON_ROAD_MAX_THRESHOLD, NON_ROAD_TARGET_PASS_RATE, VOTE_WEIGHT_FLOOR
 
 # Similarities are compared at this many digits, so that two copies of a vector tie
 # and the smaller reference id wins, whatever order the products were summed in.
 SIM_DIGITS = 9
 CELL_BUDGET = 4_000_000  # similarity cells held at once inside a task
+BEST = "struct<sim: double, name: long>"
+CENTROID_SLICE = 10_000  # centroids shipped to the tasks at once
 BLOCK_ROWS = 8192  # rows per side of one block pair in the partitioned plan
 
 
@@ -69,13 +72,14 @@ def knn(
     spark = query.sparkSession
     payload = list(payload)
     ref = reference.select(r_id, vector, *[c for c in payload if c != r_id])
-    size = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
+    extra = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ref.columns if c != vector]
+    size = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d"), F.sum(sum(extra, F.lit(0))).alias("rest")).first()
     out = query if keep_vector else query.drop(vector)
     names = ["sim", "ref", *payload]
-    if (size["n"] or 0) * (size["d"] or 0) * 8 <= int_setting(spark, MAX_BROADCAST_BYTES):
+    if (size["n"] or 0) * (size["d"] or 0) * 8 + (size["rest"] or 0) <= int_setting(spark, MAX_BROADCAST_BYTES):
         found = _knn_shipped(query, ref, out.columns, k, vector, r_id, payload)
     else:
-        found = _knn_blocks(query, ref, out.columns, k, vector, r_id, q_id, payload, size["n"])
+        found = _knn_blocks(query, ref, out.columns, k, vector, r_id, payload, size["n"])
     zipped = F.arrays_zip(*[f"_n_{c}" for c in names])
     shaped = F.transform(zipped, lambda x: F.struct(*[x[f"_n_{c}"].alias(c) for c in names]))
     return found.select(*out.columns, shaped.alias("neighbours"))
@@ -114,16 +118,22 @@ def _knn_shipped(query, ref, keep, k, vector, r_id, payload) -> DataFrame:
     return query.mapInPandas(score, schema)
 
 
-def _knn_blocks(query, ref, keep, k, vector, r_id, q_id, payload, n_ref) -> DataFrame:
-    """Both sides cut into blocks of bounded size; each block pair yields only its top k."""
+def _knn_blocks(query, ref, keep, k, vector, r_id, payload, n_ref) -> DataFrame:
+    """Both sides cut into blocks of bounded size; each block pair yields only its top k.
+
+    Query rows are told apart by a number of their own, as ids may repeat; it is stored
+    with the rows, so that a rerun task meets the same one. Only it travels with
+    the vectors, the kept columns are joined at the end.
+    """
+    query = cut_lineage(query.withColumn("_row", F.monotonically_increasing_id()))
     n_query = query.count()
     qb, rb = -(-n_query // BLOCK_ROWS), -(-n_ref // BLOCK_ROWS)
-    q = query.withColumn("_qb", F.pmod(F.xxhash64(q_id, vector), F.lit(qb)).cast("int"))
+    q = query.select("_row", vector, F.pmod(F.xxhash64("_row"), F.lit(qb)).cast("int").alias("_qb"))
     q = q.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
     r = ref.select(*[F.col(c).alias(f"_r_{c}") for c in ref.columns])
     r = r.withColumn("_rb", F.pmod(F.xxhash64(f"_r_{r_id}", f"_r_{vector}"), F.lit(rb)).cast("int"))
     r = r.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    kept = list(keep)
+    kept = ["_row"]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = [*kept, "_n_sim", "_n_ref", *[f"_n_{c}" for c in payload]]
@@ -139,7 +149,7 @@ def _knn_blocks(query, ref, keep, k, vector, r_id, q_id, payload, n_ref) -> Data
         return res[cols]
 
     lists = _list_fields(ref, r_id, payload)
-    schema = T.StructType([query.schema[c] for c in kept] + lists)
+    schema = T.StructType([query.schema["_row"], *lists])
     parts = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(score, schema)
     names = [f.name for f in lists]
     # At most k entries per reference block reach this merge, and only k leave it.
@@ -147,9 +157,8 @@ def _knn_blocks(query, ref, keep, k, vector, r_id, q_id, payload, n_ref) -> Data
     flat = parts.select(*kept, entry).select(
         *kept, F.struct((-F.col("_e._n_sim")).alias("_neg"), F.col("_e._n_ref"), *[F.col(f"_e.{n}") for n in names if n != "_n_ref"]).alias("_e")
     )
-    others = [F.first(c).alias(c) for c in kept if c != q_id]
-    merged = flat.groupBy(q_id).agg(*others, F.slice(F.sort_array(F.collect_list("_e")), 1, k).alias("_top"))
-    return merged.select(*kept, *[F.col(f"_top.{n}").alias(n) for n in names])
+    merged = flat.groupBy("_row").agg(F.slice(F.sort_array(F.collect_list("_e")), 1, k).alias("_top"))
+    return query.join(merged, "_row").select(*keep, *[F.col(f"_top.{n}").alias(n) for n in names])
 
 
 def ranked(neighbours: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -251,21 +260,32 @@ def pseudo_label_accepted(
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, *, vector: str = "embedding", cluster: str = "cluster") -> DataFrame:
-    """Adds `kmeans_cluster`, the first centroid with the largest inner product."""
+    """Adds `kmeans_cluster`, the first centroid with the largest inner product.
+
+    Centroids are shipped in slices of bounded size, each improving on the best so far.
+    """
     spark = df.sparkSession
-    local = centroids.orderBy(cluster).limit(100_001).toPandas()
-    if len(local) > 100_000:
-        raise ValueError("more than 100000 centroids")
-    shipped = spark.sparkContext.broadcast(
-        (np.stack(local[vector].to_numpy()).astype("float64"), local[cluster].to_numpy(dtype="int64"))
-    )
+    rows = centroids.select(cluster, vector).orderBy(cluster).toLocalIterator()
+    out = df.withColumn("_best", F.lit(None).cast(BEST))
+    for some in batched(rows, CENTROID_SLICE):
+        shipped = spark.sparkContext.broadcast((np.array([r[vector] for r in some], dtype="float64"), np.array([r[cluster] for r in some], dtype="int64")))
+        out = out.withColumn("_best", _better_centroid(shipped)(vector, "_best"))
+    return out.withColumn("kmeans_cluster", F.col("_best.name")).drop("_best")
 
-    @F.pandas_udf("long")
-    def assign(vectors: pd.Series) -> pd.Series:
-        matrix, names = shipped.value
-        return pd.Series(names[np.argmax(np.round(_unit(vectors) @ matrix.T, SIM_DIGITS), axis=1)])
 
-    return df.withColumn("kmeans_cluster", assign(vector))
+def _better_centroid(shipped):
+    @F.pandas_udf(BEST)
+    def assign(vectors: pd.Series, best: pd.DataFrame) -> pd.DataFrame:
+        matrix, names = shipped.value
+        sim = np.round(_unit(vectors) @ matrix.T, SIM_DIGITS)
+        at = np.argmax(sim, axis=1)
+        top = sim[np.arange(len(at)), at]
+        before = best["sim"].to_numpy(dtype="float64", na_value=-np.inf)
+        old = before >= top  # the earlier slice holds the smaller names
+        name = np.where(old, best["name"].fillna(0).to_numpy(dtype="int64"), names[at])
+        return pd.DataFrame({"sim": np.where(old, before, top), "name": name})
+
+    return assign
 
 
 def calibrated_threshold(mean_cosine: DataFrame, value: str = "mean_cosine") -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,10 @@ def group_count() -> Op:
     return Op("group_count")
 
 
+def group_sum(value: Column | str) -> Op:
+    return Op("group_sum", _col(value))
+
+
 def lag(value: Column | str) -> Op:
     return Op("lag", _col(value))
 
@@ -117,7 +123,7 @@ class KeyProfile:
         if self.keys:
             schema = T.StructType([df.schema[k] for k in self.keys])
             marks = spark.createDataFrame([tuple(k) for k in by_key], schema)
-            hot_rows = df.join(F.broadcast(marks), list(self.keys), "left_semi")
+            hot_rows = _join_small(df, marks, self.keys, "left_semi")
         wanted = sum(-(-n // self.chunk_rows) for n in by_key.values()) * SAMPLES_PER_CHUNK
         fraction = min(1.0, wanted / sum(by_key.values()))
         picked = (
@@ -161,7 +167,7 @@ class Layout:
 
     def _with_cuts(self, df: DataFrame) -> DataFrame:
         if self.keys:
-            return df.join(F.broadcast(self.splits), list(self.keys), "left")
+            return _join_small(df, self.splits, self.keys, "left")
         one = self.splits.withColumn("_all", F.lit(0))
         return df.withColumn("_all", F.lit(0)).join(F.broadcast(one), "_all", "left").drop("_all")
 
@@ -213,16 +219,23 @@ class Layout:
         )
         if self.keys:
             marks = self.splits.select(*self.keys)
-            carried = carried.join(F.broadcast(marks), list(self.keys), "left_semi")
+            carried = _join_small(carried, marks, self.keys, "left_semi")
         local = self._window("_chunk")
         rows = rows.select("*", *[_local(op, local).alias(f"_l_{n}") for n, op in ops.items()])
-        joined = rows.join(F.broadcast(carried), [*self.keys, "_chunk"], "left")
+        joined = _join_small(rows, carried, (*self.keys, "_chunk"), "left")
         return joined.select(
             *[F.col(c) for c in df.columns],
             *[_combine(ops[n], F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in names],
         )
 
 
+def _join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join with a table of bounded size; null keys match null keys."""
+    renamed = small.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return df.join(F.broadcast(renamed), same, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def _chunk_index(at: Column) -> Column:
     """Number of cut points below `at`, by binary search over `_cuts`; 0 without cuts."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_CHUNKS.bit_length() + 1))])
@@ -252,6 +265,8 @@ def _plain(op: Op, w: Window) -> Column:
             return F.row_number().over(w).cast("long")
         case "group_count":
             return F.count(F.lit(1)).over(_whole(w))
+        case "group_sum":
+            return F.sum(op.value).over(_whole(w))
         case "lag":
             return F.lag(op.value).over(w)
         case "lead":
@@ -286,7 +301,7 @@ def _summary(op: Op, at: Column) -> Column:
             return F.max_by(F.struct(op.value.alias("v")), at)
         case "lead":
             return F.min_by(F.struct(op.value.alias("v")), at)
-        case "running_sum":
+        case "running_sum" | "group_sum":
             return F.sum(op.value)
         case "running_max" | "group_max":
             return F.max(op.value)
@@ -303,7 +318,7 @@ def _carry(op: Op, part: Column, across: Window) -> Column:
     match op.kind:
         case "row_number" | "running_sum":
             return F.sum(part).over(before)
-        case "group_count":
+        case "group_count" | "group_sum":
             return F.sum(part).over(_whole(across))
         case "lag":
             return F.lag(part).over(across)
@@ -330,7 +345,7 @@ def _combine(op: Op, local: Column, carry: Column) -> Column:
             return F.when(local.isNull() | carry.isNull(), F.coalesce(local, carry)).otherwise(local + carry)
         case "running_max":
             return F.greatest(local, carry)
-        case "group_count" | "group_first" | "group_max":
+        case "group_count" | "group_sum" | "group_first" | "group_max":
             return F.coalesce(carry, local)
         case "lag" | "lead":
             return F.coalesce(local, carry)["v"]
@@ -347,19 +362,21 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles of the non-null values, one row per group.
 
-    Ranks the values with a chunked scan, so a group of any size is fine; the
-    final aggregate only reads the one or two rows next to each target rank.
+    Equal values are counted first, so they are one row of the chunked scan, and a group
+    of any size or with any number of ties is fine. The final aggregate only reads the
+    values that hold the one or two target ranks.
     """
-    cols = [*keys, value]
-    rows = df.select(*cols).where(F.col(value).isNotNull())
-    profile = profile or KeyProfile.of(rows, keys)
-    ranked = profile.layout(rows, [value]).scan(rows, _rn=row_number(), _n=group_count())
+    rows = df.select(*keys, value).where(F.col(value).isNotNull())
+    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    profile = profile or KeyProfile.of(counted, keys)
+    ranked = profile.layout(counted, [value]).scan(counted, _upto=running_sum("_c"), _n=group_sum("_c"))
     picks = []
     for name, q in quantiles.items():
         target = (F.col("_n") - 1) * F.lit(float(q))
         low, frac = F.floor(target), target - F.floor(target)
-        at_low = F.max(F.when(F.col("_rn") - 1 == low, F.col(value)))
-        at_high = F.max(F.when(F.col("_rn") - 1 == F.ceil(target), F.col(value)))
+        holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
+        at_low = F.max(F.when(holds(low), F.col(value)))
+        at_high = F.max(F.when(holds(F.ceil(target)), F.col(value)))
         picks.append((at_low + (at_high - at_low) * F.max(frac)).alias(name))
     return ranked.groupBy(*keys).agg(*picks)
 

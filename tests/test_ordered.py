@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline.operators import knn
 from kerbline.operators import ordered as O
+from kerbline.operators.motion import trailing_variance
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +64,60 @@ def test_trailing_window_across_chunks(rows):
     cut = O.KeyProfile.of(keyed, ["key"], max_rows=40).layout(keyed, ["k"])
     assert cut.splits is not None
     assert sorted(map(str, plain.collect())) == sorted(map(str, cut.trailing(keyed, 7000, **aggs).collect()))
+
+
+@pytest.fixture()
+def small_tasks(spark):
+    spark.conf.set("kerbline.maxRowsPerTask", "100")
+    yield
+    spark.conf.unset("kerbline.maxRowsPerTask")
+
+
+def test_quantiles_of_tied_values_and_null_keys(spark, small_tasks):
+    rows = [(None if i % 3 else "a", 7.0 if i % 4 else float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "session_id string, v double")
+    got = {r["session_id"]: r for r in O.exact_quantiles(df, ["session_id"], "v", {"q1": 0.1, "q5": 0.5, "q9": 0.93}).collect()}
+    for key in (None, "a"):
+        values = [v for k, v in rows if k == key]
+        for name, q in (("q1", 0.1), ("q5", 0.5), ("q9", 0.93)):
+            assert got[key][name] == pytest.approx(np.quantile(values, q))
+
+
+def test_null_keys_are_cut_into_chunks(spark, small_tasks):
+    df = spark.range(1500).select(F.when(F.col("id") < 1400, F.lit(None)).otherwise(F.lit("b")).cast("string").alias("k"), "id")
+    layout = O.KeyProfile.of(df, ["k"]).layout(df, ["id"])
+    assert layout.chunk(df).groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] <= 400
+    got = layout.scan(df, s=O.running_sum("id"))
+    assert all(r["s"] == (sum(range(r["id"] + 1)) if r["k"] is None else sum(range(1400, r["id"] + 1))) for r in got.collect())
+
+
+def test_many_samples_in_one_millisecond(spark):
+    rows = [("s", 0, i, float(i), 0.0, 0.0) for i in range(1500)] + [("s", 901, 1500 + i, float(i), 0.0, 0.0) for i in range(10)]
+    imu = spark.createDataFrame(rows, "session_id string, utc_ms long, seq long, ax double, ay double, az double")
+    last = trailing_variance(imu).where("seq = 1509").first()
+    assert last["variance"] == pytest.approx(np.var(range(10), ddof=1))
+
+
+def test_block_neighbours_keep_repeated_query_ids(spark):
+    rng = np.random.default_rng(3)
+    refs = [(i, f"p{i}", rng.normal(size=8).tolist()) for i in range(300)]
+    asked = [(i % 40, i, rng.normal(size=8).tolist()) for i in range(160)]
+    q = spark.createDataFrame(asked, "image_id long, n int, embedding array<double>")
+    r = spark.createDataFrame(refs, "image_id long, path string, embedding array<double>")
+    rows = lambda: sorted((x["n"], x["image_id"], [tuple(y) for y in x["neighbours"]]) for x in knn.knn(q, r, 5, payload=["path"]).collect())
+    whole = rows()
+    spark.conf.set("kerbline.maxBroadcastBytes", "1000")
+    try:
+        assert len(whole) == 160 and rows() == whole
+    finally:
+        spark.conf.unset("kerbline.maxBroadcastBytes")
+
+
+def test_centroids_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    c = [(i, rng.normal(size=6).tolist()) for i in range(25)]
+    df = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(50)], "image_id long, embedding array<double>")
+    centroids = spark.createDataFrame([*c, (30, c[3][1])], "cluster long, embedding array<double>")
+    one = {r["image_id"]: r["kmeans_cluster"] for r in knn.nearest_centroid(df, centroids).collect()}
+    monkeypatch.setattr(knn, "CENTROID_SLICE", 7)
+    assert {r["image_id"]: r["kmeans_cluster"] for r in knn.nearest_centroid(df, centroids).collect()} == one
