@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,10 @@ from kerbline.functions import geometry as G
 from kerbline.functions.vectors import l2_normalise
 from kerbline.operators import metrics as M
 from kerbline.operators.manifests import top_per_group
-from kerbline.session import MAX_BROADCAST_BYTES, int_setting
+from kerbline.session import MAX_BROADCAST_BYTES, cut_lineage, int_setting
+
+#: Mean distance of a row to the others of its label, and to the nearest other label.
+DISTANCES = "struct<own: double, other: double>"
 
 
 def vector_sums(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -39,29 +43,39 @@ def silhouette(df: DataFrame, label: str, vector: str = "embedding") -> DataFram
     """
     spark = df.sparkSession
     unit = df.select(F.col(label).cast("string").alias("_l"), l2_normalise(F.col(vector)).alias("_v"))
-    sums = vector_sums(unit, "_l", "_v")
-    size = sums.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector_sum")).alias("d")).first()
-    if (size["n"] or 0) * (size["d"] or 0) * 8 > int_setting(spark, MAX_BROADCAST_BYTES):
-        raise ValueError("too many labels for a silhouette table in memory; raise kerbline.maxBroadcastBytes")
-    local = sums.orderBy("_l").toPandas()
-    names = {x: i for i, x in enumerate(local["_l"])}
-    shipped = spark.sparkContext.broadcast((names, np.stack(local["vector_sum"].to_numpy()), local["n"].to_numpy(dtype="float64")))
-
-    @F.pandas_udf("double")
-    def score(labels: pd.Series, vectors: pd.Series) -> pd.Series:
+    sums = cut_lineage(vector_sums(unit, "_l", "_v"))
+    width = sums.agg(F.max(F.size("vector_sum"))).first()[0] or 1
+    size = max(1, int_setting(spark, MAX_BROADCAST_BYTES) // (8 * width))
+    scored = unit.withColumn("_d", F.lit(None).cast(DISTANCES))
+    # Labels are shipped in slices of bounded size, each adding to what the earlier ones found.
+    for some in batched(sums.orderBy("_l").toLocalIterator(), size):
+        names = {r["_l"]: i for i, r in enumerate(some)}
+        shipped = spark.sparkContext.broadcast((names, np.array([r["vector_sum"] for r in some]), np.array([r["n"] for r in some], dtype="float64")))
+        scored = scored.withColumn("_d", _label_distances(shipped)("_l", "_v", "_d"))
+    a, b = F.col("_d.own"), F.col("_d.other")
+    alone = a.isNull() | b.isNull()
+    score = F.when(alone, 0.0).otherwise((b - a) / F.greatest(a, b, F.lit(1e-300)))
+    return scored.agg(F.avg(score).alias("silhouette"))
+
+
+def _label_distances(shipped):
+    @F.pandas_udf(DISTANCES)
+    def measure(labels: pd.Series, vectors: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
         index, total, n = shipped.value
         x = np.stack(vectors.to_numpy()).astype("float64")
-        own = labels.map(index).to_numpy()
-        rows = np.arange(len(x))
+        at = labels.map(index)
+        here = np.flatnonzero(at.notna().to_numpy())
+        own = at.iloc[here].to_numpy(dtype="int64")
         dot = x @ total.T
         mean = 1.0 - dot / n
-        a = (n[own] - dot[rows, own]) / np.maximum(n[own] - 1, 1)
-        mean[rows, own] = np.inf
-        b = mean.min(axis=1)
-        s = np.where((n[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-        return pd.Series(s)
-
-    return unit.agg(F.avg(score("_l", "_v")).alias("silhouette"))
+        mean[here, own] = np.inf
+        inner = before["own"].to_numpy(dtype="float64", na_value=np.nan)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            inner[here] = np.where(n[own] > 1, (n[own] - dot[here, own]) / (n[own] - 1), np.nan)
+        other = np.minimum(before["other"].to_numpy(dtype="float64", na_value=np.inf), mean.min(axis=1))
+        return pd.DataFrame({"own": pd.Series(inner).where(np.isfinite(inner), None), "other": pd.Series(other).where(np.isfinite(other), None)})
+
+    return measure
 
 
 def cluster_profile(df: DataFrame, cluster: str, order: str = "image_id", examples: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import knn
 from kerbline.operators import ordered as O
+from kerbline.operators.clusters import silhouette
 from kerbline.operators.motion import trailing_variance
 
 
@@ -121,3 +122,23 @@ def test_centroids_in_slices(spark, monkeypatch):
     one = {r["image_id"]: r["kmeans_cluster"] for r in knn.nearest_centroid(df, centroids).collect()}
     monkeypatch.setattr(knn, "CENTROID_SLICE", 7)
     assert {r["image_id"]: r["kmeans_cluster"] for r in knn.nearest_centroid(df, centroids).collect()} == one
+
+
+def test_silhouette_with_labels_in_slices(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"l{i % 9}" if i else "alone", rng.normal(size=5).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "label string, embedding array<double>")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels, far = np.array([r[0] for r in rows]), 1 - x @ x.T
+    want = []
+    for i, own in enumerate(labels):
+        same = (labels == own) & (np.arange(len(x)) != i)
+        a, b = far[i, same].mean() if same.any() else 0, min(far[i, labels == o].mean() for o in set(labels) - {own})
+        want.append((b - a) / max(a, b) if same.any() else 0.0)
+    whole = silhouette(df, "label").first()[0]
+    spark.conf.set("kerbline.maxBroadcastBytes", "120")
+    try:
+        assert whole == pytest.approx(np.mean(want)) and silhouette(df, "label").first()[0] == pytest.approx(whole)
+    finally:
+        spark.conf.unset("kerbline.maxBroadcastBytes")
