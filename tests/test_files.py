@@ -97,3 +97,16 @@ def test_metadata_tuples_are_the_fallback(spark):
     doc = json.dumps({"Track1:GPSCoordinates": ["48.5 17.25 100", "48.6 17.35", "bad"], "Track1:SampleTime": ["0:00:01", "2.5"]})
     r = SRC.parse_metadata_dump(spark.createDataFrame([("s", doc)], "session_id string, value string")).orderBy("point_id").collect()
     assert [(x["lat"], x["lon"], x["alt_m"], x["t"]) for x in r] == [(48.5, 17.25, 100.0, 1.0), (48.6, 17.35, None, 2.5)]
+
+
+def test_gpx_prefixes_extensions_and_order(spark, tmp_path):
+    (tmp_path / "a.gpx").write_text(
+        '<g:gpx xmlns:g="x" xmlns:d="y"><g:wpt lon="3" lat="1"/><g:trk><g:trkseg>\n'
+        '<g:trkpt lat="10.5" lon="-20.25"><g:ele> 7 </g:ele><g:time>2024-01-01T00:00:01Z</g:time>'
+        "<g:extensions><d:Point><d:speed>3.5</d:speed><d:course unit='deg'>90</d:course></d:Point></g:extensions></g:trkpt>\n"
+        "</g:trkseg></g:trk><g:rte><g:rtept lat='11' lon='21'></g:rtept><g:rtept lat='x' lon='21'/></g:rte></g:gpx>"
+    )
+    got = SRC.read_gpx(spark, str(tmp_path / "a.gpx")).orderBy("point_id").collect()
+    assert [(r["lat"], r["lon"], r["alt_m"], r["speed_mps"], r["heading_deg"]) for r in got] == [
+        (1.0, 3.0, None, None, None), (10.5, -20.25, 7.0, 3.5, 90.0), (11.0, 21.0, None, None, None)]
+    assert [r["utc_ms"] for r in got] == [None, 1704067201000.0, None]
