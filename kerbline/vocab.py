@@ -48,6 +48,11 @@ VISUAL_LIMITATIONS = (
     "Binder content, density/air voids, and water-damage or stripping progression are not "
     "measured; this assessment uses visible image proxies only."
 )
+START_ONLY_NOTICE = "No timed GPS track was found; map shows only the single start point."
+NO_ROUTE_NOTICE = "No GPS track was found; map route is omitted."
+SIDECAR_NOTICE = "GPS route from sidecar ("
+EMBEDDED_NOTICE = "GPS route from embedded timed metadata ("
+SPEED_LABEL_IMU, SPEED_LABEL_NONE, SPEED_LABEL_GPS = "est. (IMU, unreliable)", "(no GPS)", "(GPS)"
 IMU_ROUTE_NOTICE = "Route is IMU-estimated (approximate, drifts) - no continuous GPS in source."
 MEASURED_ROUTE_NOTICE = "GPS route from measured timed GPS samples."
 NO_GPS_NOTICE = "No timed GPS track was found; map route is omitted."
