@@ -77,10 +77,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of `benchmark` with an item_id divisible by 20, searched in all documents."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(F.col("item_id") % 20 == 0)
-    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return documents(search.search_rationales(_given(spark, sf_dir), asked)).withColumnRenamed("query_id", "item_id")
+    """Documents with a doc_id divisible by 20, whole texts as queries, searched in all documents."""
+    docs = _given(spark, sf_dir)
+    asked = docs.filter(F.col("frame_index") % 20 == 0).select(F.col("frame_index").alias("query_id"), F.col("rationale").alias("query"))
+    return documents(search.search_rationales(docs, asked))
 
 
 @_query

@@ -314,6 +314,24 @@ def test_search(spark, table, empty, monkeypatch, size):
     assert search.search_rationales(empty, asked).count() == 0 and search.search_rationales(table, asked.filter("false")).count() == 0
 
 
+def test_search_asks_whole_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    rows = [(i, prose(int(RNG.integers(5, 200)))) for i in range(239)] + [(240, prose(30)), (241, "rare word"), (None, "rare word")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [Counter(t.lower().split()) for _, t in rows]
+    frequency, mean = Counter(w for d in docs for w in d), sum(map(Counter.total, docs)) / len(docs)
+    want = []
+    for (q, _), asked in zip(rows, docs):
+        if q is not None and q % 20 == 0:
+            scores = []
+            for (key, _), d in zip(rows, docs):
+                s = sum(m * np.log(1 + (len(docs) - frequency[w] + 0.5) / (frequency[w] + 0.5)) * d[w] * 2.2 / (d[w] + 1.2 * (0.25 + 0.75 * d.total() / mean)) for w, m in asked.items())
+                scores.append((-s, key is None, key or 0))
+            want += [(q, i + 1, s[2]) for i, s in enumerate(sorted(s for s in scores if s[0])[:10])]
+    got = queries.QUERIES["op8_topk_search"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == sorted(want)
+
+
 def test_pages(spark):
     def page(i, body, tail=""):
         return f"<html><head><title>t</title><script>var x='</p>'</script></head><body><nav><a href=/>menu {i}</a></nav><div class='ad'>buy {i}</div><div class=c>{body}<div id='comments'>reply {i}</div></div><footer>&copy; {i}</footer>{tail}"
