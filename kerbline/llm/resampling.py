@@ -28,8 +28,10 @@ SUSPECT = 0.05
 LOSS = 0.002
 #: Score units of one unit of Gumbel noise.
 TEMPERATURE = 0.002
-#: Counts of a bucket: occurrences in all rationales and in accepted ones, reviewed and accepted holders of a word.
+#: Counts of a bucket: occurrences in all distinct texts and in accepted ones, reviewed and accepted holders of a word.
 COUNTS = ("raw", "target", "known", "good")
+#: Digests that a task remembers before texts are shuffled.
+REMEMBERED = 1 << 20
 #: Score columns of a rationale.
 SCORES = ("log_ratio", "word_excess", "weight", "sample_key")
 #: Parts into which the range of sampling keys is cut in one pass.
@@ -67,6 +69,35 @@ def _holders(buckets: np.ndarray, at: np.ndarray, texts: np.ndarray) -> np.ndarr
     return np.bincount(held, minlength=BUCKETS)
 
 
+def distinct_texts(rows: DataFrame, text: str) -> DataFrame:
+    """Each distinct text once, as `text`; a null counts as empty.
+
+    A task sends a text on once, so one that most rows hold reaches its shard as often as there are tasks.
+    """
+
+    def once(most):
+        def run(batches):
+            seen: set[bytes] = set()
+            for batch in batches:
+                for part in tx.slices(batch, text):
+                    texts = tx.plain(part.column(text))
+                    new = np.zeros(len(texts), bool)
+                    digests = [xxhash.xxh3_128_digest(t) for t in texts.cast(pa.large_binary()).to_pylist()]
+                    for i, d in enumerate(digests):
+                        if d not in seen:
+                            new[i] = True
+                            seen.add(d)
+                    if most and len(seen) > most:
+                        seen.clear()
+                    chosen = pa.array(new)
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()).filter(chosen), texts.filter(chosen).cast(pa.string())], names=["digest", text])
+
+        return run
+
+    shape = f"digest binary, `{text}` string"
+    return rows.select(text).mapInArrow(once(REMEMBERED), shape).repartition("digest").mapInArrow(once(0), shape).select(text)
+
+
 @dataclass
 class RatioModel:
     """Log ratios of target and raw model of each bucket, and the lowest scores that count as target.
@@ -115,8 +146,9 @@ def reviewed_sample(reviews: DataFrame, key: str, accepted: str, most: int = MAX
 
 
 def fit_ratio(assessments: DataFrame, reviews: DataFrame, key: str = "frame_index", text: str = "rationale", accepted: str = "accepted") -> RatioModel:
-    """Fit the models: raw on all rationales, target on the accepted half of the reviewed sample.
+    """Fit the models: raw on all rationales, target on the accepted ones of the fitted half of the reviewed sample.
 
+    Both count each distinct text once, so copies of a rationale do not score it down.
     The word models count holders in the fitted half of the reviewed sample, all of them as
     raw and the accepted ones as target, so a passage that many unreviewed rationales
     share is no evidence. Cuts are low percentiles (`SUSPECT`, `LOSS`) of the accepted rows
@@ -125,22 +157,35 @@ def fit_ratio(assessments: DataFrame, reviews: DataFrame, key: str = "frame_inde
     sample = reviewed_sample(reviews, key, accepted)
     rows = assessments.select(key, text).join(F.broadcast(sample), key, "left")
 
-    def count(batches):
-        raw, target, known, good = (np.zeros(BUCKETS, np.int64) for _ in range(4))
+    def occurrences(name):
+        def count(batches):
+            total = np.zeros(BUCKETS, np.int64)
+            for batch in batches:
+                for part in tx.slices(batch, text):
+                    one, _, two, _ = ngrams(tx.plain(part.column(text)))
+                    total += np.bincount(one, minlength=BUCKETS) + np.bincount(two, minlength=BUCKETS)
+            yield from counts_of(**{name: total})
+
+        return count
+
+    def holders(batches):
+        known, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in tx.slices(batch, text):
-                one, at, two, at2 = ngrams(tx.plain(part.column(text)))
-                fits = pc.fill_null(part.column("fit"), False).to_numpy(zero_copy_only=False)
-                likes = fits & pc.fill_null(pc.equal(part.column("target"), 1), False).to_numpy(zero_copy_only=False)
-                known += _holders(one, at, fits)
-                good += _holders(one, at, likes)
-                for buckets, begin in ((one, at), (two, at2)):
-                    raw += np.bincount(buckets, minlength=BUCKETS)
-                    target += np.bincount(buckets[np.repeat(likes, np.diff(begin))], minlength=BUCKETS)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *[pa.array(c[seen]) for c in (raw, target, known, good)]], names=["bucket", *COUNTS])
-
-    counted = rows.mapInArrow(count, "bucket int, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in COUNTS])
+                one, at, _, _ = ngrams(tx.plain(part.column(text)))
+                known += _holders(one, at, np.ones(part.num_rows, bool))
+                good += _holders(one, at, pc.equal(part.column("target"), 1).to_numpy(zero_copy_only=False))
+        yield from counts_of(known=known, good=good)
+
+    def counts_of(**some):
+        seen = np.flatnonzero(sum(some.values()))
+        none = np.zeros(len(seen), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *[pa.array(some[c][seen] if c in some else none) for c in COUNTS]], names=["bucket", *COUNTS])
+
+    shape = "bucket int, " + ", ".join(f"{c} long" for c in COUNTS)
+    fitted = cut_lineage(rows.filter("fit").select(text, "target"))
+    parts = [distinct_texts(assessments, text).mapInArrow(occurrences("raw"), shape), distinct_texts(fitted.filter("target = 1"), text).mapInArrow(occurrences("target"), shape), fitted.mapInArrow(holders, shape)]
+    counted = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in COUNTS])
     # One row per bucket: bounded by BUCKETS, whatever the number of rationales.
     got = counted.toPandas()
     counts = np.zeros((len(COUNTS), BUCKETS))
@@ -148,7 +193,7 @@ def fit_ratio(assessments: DataFrame, reviews: DataFrame, key: str = "frame_inde
     raw, target, known, good = counts
     if not target.sum():
         return RatioModel(np.zeros(BUCKETS), np.zeros(BUCKETS))
-    reviewed = rows.filter("fit").agg(F.count(F.lit(1)), F.sum("target")).first()
+    reviewed = fitted.agg(F.count(F.lit(1)), F.sum("target")).first()
     weights = np.log(target + PRIOR) - np.log(raw * (target.sum() / raw.sum()) + PRIOR)
     word_weights = np.log(good + WORD_PRIOR) - np.log(known * (reviewed[1] / reviewed[0]) + WORD_PRIOR)
     model = RatioModel(weights, word_weights)
@@ -217,7 +262,7 @@ def resample_quality(assessments: DataFrame, reviews: DataFrame, key: str = "fra
     """Which rationales importance resampling keeps: `key`, n_ngrams, log_ratio, word_excess, weight, sample_key, kept.
 
     Two bag-of-n-grams models over hashed words and word pairs of the lower-cased text:
-    raw is fitted on all rationales, target on reviewed ones that were `accepted`
+    raw is fitted on all rationales, each distinct text once, target on reviewed ones that were `accepted`
     (a bounded sample, MAX_REVIEWED). A rationale's weight is its mean log ratio
     (log_ratio). A few words that accepted rationales never hold hardly move a mean; so
     the shares of accepted and of all reviewed rationales that hold a word are compared

@@ -278,6 +278,22 @@ def test_quality_sees_a_few_bad_words(spark):
         assert got[i]["word_excess"] == pytest.approx(sum(min(0, ratio(w) - model.word_cut) for w in sets[i]), abs=1e-6)
 
 
+def test_quality_keeps_a_clean_text_with_many_copies(spark):
+    rows = [(i, prose(60)) for i in range(300)]
+    rare = " ".join(f"clean{j}" for j in range(12))  # words that no reviewed rationale holds
+    copied = prose(48) + " " + rare
+    rows += [(1000 + i, copied) for i in range(150)]
+    rows += [(2000 + i, " | ".join(w + "%%%" for w in prose(60).split())) for i in range(40)]
+    reviews = spark.createDataFrame([(i, True) for i in range(200)] + [(2000 + i, False) for i in range(20)], "frame_index long, accepted boolean")
+
+    def scores(some):
+        got = resampling.resample_quality(spark.createDataFrame(some, "frame_index long, rationale string"), reviews).collect()
+        return {r["frame_index"]: r["log_ratio"] for r in got}
+
+    many, one = scores(rows), scores([r for r in rows if not 1000 < r[0] < 2000])
+    assert many[1000] == one[1000] and many[5] == one[5]
+
+
 def df_lit():
     from pyspark.sql import functions as F
 
