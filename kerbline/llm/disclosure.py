@@ -17,8 +17,8 @@ from kerbline.session import cut_lineage
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a mention that count as its context.
 CONTEXT = 6
-#: Documents in which a term must stand beside an entity before it is judged.
-SUPPORT = 3
+#: Pseudo-count of documents that hold a term and the entity at its base rate.
+PRIOR = 1.0
 #: Share of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -157,13 +157,16 @@ def disclosing_terms(found: DataFrame, assessments: DataFrame, text: str) -> Dat
     """(e, t, removed): terms that give away at least GENERALISE of an entity's information.
 
     With n rationales, the information of an entity is log(n / n_e), what a term
-    tells about it is log(n * n_et / (n_e * n_t)), their ratio is the disclosure.
+    tells about it is log(p * n / n_e), their ratio is the disclosure. p, the share of the
+    term's rationales that hold the entity, is shrunk towards n_e / n by PRIOR rationales, so every
+    entity is judged, and one that few rationales hold by a lower share.
     """
     n = max(found.count(), 1)
-    beside = found.select(F.explode("near").alias("x")).filter("x.first").groupBy("x.e", "x.t").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT)
+    beside = found.select(F.explode("near").alias("x")).filter("x.first").groupBy("x.e", "x.t").agg(F.count(F.lit(1)).alias("n_et"))
     entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     told = beside.join(entities, "e").join(_term_counts(assessments, text), "t")
-    share = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
+    base = F.col("n_e") / F.lit(float(n))
+    share = F.log((F.col("n_et") + PRIOR * base) / (F.col("n_t") + PRIOR) / base) / -F.log(base)
     return told.filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= GENERALISE).select("e", "t", (F.col("share") >= REMOVE).alias("removed"))
 
 

@@ -132,6 +132,12 @@ def test_disclosing_terms(spark):
     assert all(not got[k] for k, _ in rest)
 
 
+def test_terms_beside_an_entity_of_one_document(spark):
+    rows = [(0, "write to quarryman at boss@example.org about job")] + [(1 + i, f"write to someone at home about job {i}") for i in range(400)]
+    got = {r["frame_index"]: r["spans"] for r in disclosure.find_disclosures(spark.createDataFrame(rows, "frame_index long, rationale string")).collect()}
+    assert got[0] == "generalise:9:18,email:22:38" and not any(got[i] for i in range(1, 401))
+
+
 def test_near_duplicates(spark, table, empty):
     sets = []
     for _, t in TEXTS:
