@@ -15,10 +15,12 @@ from kerbline.llm import text as tx
 from kerbline.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention that count as its context.
+#: Words from a mention within which a term has the whole weight of its rationale.
 CONTEXT = 6
-#: Pseudo-count of documents that hold a term and the entity at its base rate.
+#: Pseudo-count of documents that hold a term and the entity at its base rate, times the distance in CONTEXT beyond it.
 PRIOR = 1.0
+#: Bits that tell most terms without risk before the rest is joined; a multiple of 64.
+BITS = 1 << 26
 #: Share of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -81,37 +83,52 @@ def _h64(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode()) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of all terms in the words around each mention, outside all mentions."""
-    out = set()
+def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(term, start, end) of every word outside all mentions, in text order; a word without a term has term 0."""
+    parts, done = [], 0
+    for start, _, end in spans:
+        if end > done:
+            start = max(start, done)
+            parts += [text[done:start], " " * (end - start)]
+            done = end
+    out, known = [], {}
+    for m in _WORD.finditer("".join([*parts, text[done:]])):
+        word = m[0]
+        if word not in known:
+            known[word] = _h64(t) if (t := term(word)) else 0
+        out.append((known[word], m.start() + len(word) - len(word.lstrip(_EDGE)), m.start() + len(word.rstrip(_EDGE))))
+    return out
+
+
+def together(text: str, spans: list[tuple[int, int, int]]):
+    """For each entity of a text: its number, the distinct terms of the text, and the least words from each to a mention."""
+    words = outside(text, spans)
+    terms, back = np.unique(np.array([w[0] for w in words], np.int64), return_inverse=True)
+    starts = np.array([w[1] for w in words], np.int64)
+    mentions: dict[int, list] = {}
     for start, kind, end in spans:
         value = re.sub(r"[ ().-]", "", text[start:end]) if kind >= 2 else text[start:end].lower()
-        entity = _h64(f"{KINDS[kind]}:{value}")
-        left, reach = [], 256
-        while True:  # widen the view until it holds enough words or the text ends
-            begin = max(0, start - reach)
-            left = list(_WORD.finditer(text, begin, start))
-            if begin == 0 or len(left) > CONTEXT + 1:
-                break
-            reach *= 4
-        near = [m for m in left if m.start() > begin or begin == 0][-CONTEXT:]
-        for n, m in enumerate(_WORD.finditer(text, end)):
-            if n == CONTEXT:
-                break
-            near.append(m)
-        for m in near:
-            word = m[0]
-            cut = len(word) - len(word.lstrip(_EDGE))
-            a, b = m.start() + cut, m.start() + len(word.rstrip(_EDGE))
-            if (t := term(word)) and not any(s < b and a < e for s, _, e in spans):
-                out.add((entity, _h64(t), a, b))
-    return sorted(out)
+        mentions.setdefault(_h64(f"{KINDS[kind]}:{value}"), []).append(np.searchsorted(starts, start))
+    at = np.arange(len(words))
+    for entity, places in mentions.items():
+        # The word at a mention's place is the first one after it.
+        places = np.unique(places)
+        after = np.searchsorted(places, at, side="right") - 1
+        right = np.where(after >= 0, at - places[after] + 1, len(words) + 1)
+        before = np.searchsorted(places, at, side="right")
+        left = np.where(before < len(places), places[np.minimum(before, len(places) - 1)] - at, len(words) + 1)
+        least = np.full(len(terms), len(words) + 1)
+        np.minimum.at(least, back, np.minimum(left, right))
+        yield entity, terms[terms != 0], least[terms != 0]
+
+
+def _whole(value: str) -> str:
+    return xxhash.xxh3_128_hexdigest(value.encode())
 
 
 def _found(assessments: DataFrame, key: str, text: str) -> DataFrame:
-    """Base spans of each rationale and the contexts of its mentions."""
+    """Base spans of each rationale."""
     kind = assessments.schema[key].dataType.simpleString()
-    context = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("first", pa.bool_())]))
     span = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32())]))
 
     def find(batches):
@@ -120,20 +137,29 @@ def _found(assessments: DataFrame, key: str, text: str) -> DataFrame:
                 rows = []
                 for value in tx.plain(part.column(text)).to_pylist():
                     spans = base_spans(value)
-                    seen: set = set()
-                    near = []
-                    for e, t, a, b in contexts(value, spans) if spans else ():
-                        near.append({"e": e, "t": t, "a": a, "b": b, "first": (e, t) not in seen})
-                        seen.add((e, t))
                     named = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
                     counts = [sum(k == i for _, k, _ in spans) for i in range(4)]
-                    rows.append((*counts, hashlib.sha256(named.encode()).hexdigest(), xxhash.xxh3_128_hexdigest(value.encode()) if spans else None, [{"a": a, "k": k, "b": b} for a, k, b in spans], near, sorted({x["e"] for x in near})))
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), span, context, pa.list_(pa.int64())]
-                names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "whole", "base", "near", "entities"]
+                    rows.append((*counts, hashlib.sha256(named.encode()).hexdigest(), _whole(value), [{"a": a, "k": k, "b": b} for a, k, b in spans]))
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), span]
+                names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "whole", "base"]
                 yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[key, *names])
 
-    shape = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, whole string, base array<struct<a int, k int, b int>>, near array<struct<e long, t long, a int, b int, first boolean>>, entities array<long>"
-    return cut_lineage(assessments.select(key, text).mapInArrow(find, f"`{key}` {kind}, {shape}").withColumn("row", F.monotonically_increasing_id()))
+    shape = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, whole string, base array<struct<a int, k int, b int>>"
+    return cut_lineage(assessments.select(key, text).mapInArrow(find, f"`{key}` {kind}, {shape}"))
+
+
+def _pairs(assessments: DataFrame, text: str) -> DataFrame:
+    """(e, t, n, d): rationales that hold both an entity and a term, and the least distance; term 0 has all those of the entity."""
+
+    def find(batches):
+        for batch in batches:
+            for part in tx.slices(batch, text):
+                for value in tx.plain(part.column(text)).to_pylist():
+                    for e, terms, least in together(value, spans) if (spans := base_spans(value)) else ():
+                        t, d = np.append(terms, 0), np.append(least, 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), e), pa.int64()), pa.array(t, pa.int64()), pa.array(d, pa.int64())], names=["e", "t", "d"])
+
+    return assessments.select(text).mapInArrow(find, "e long, t long, d long").groupBy("e", "t").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"))
 
 
 def _term_counts(assessments: DataFrame, text: str) -> DataFrame:
@@ -153,46 +179,85 @@ def _term_counts(assessments: DataFrame, text: str) -> DataFrame:
     return assessments.select(text).mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing_terms(found: DataFrame, assessments: DataFrame, text: str) -> DataFrame:
-    """(e, t, removed): terms that give away at least GENERALISE of an entity's information.
+def disclosing_terms(assessments: DataFrame, text: str) -> DataFrame:
+    """(t, removed): terms that give away at least GENERALISE of some entity's information.
 
     With n rationales, the information of an entity is log(n / n_e), what a term
     tells about it is log(p * n / n_e), their ratio is the disclosure. p, the share of the
-    term's rationales that hold the entity, is shrunk towards n_e / n by PRIOR rationales, so every
-    entity is judged, and one that few rationales hold by a lower share.
+    term's rationales that hold the entity anywhere, is shrunk towards n_e / n by PRIOR rationales, so every
+    entity is judged, and one that few rationales hold by a lower share. A term that
+    never stands within CONTEXT words of a mention is shrunk more, by its least distance, so
+    far ones need more rationales.
     """
-    n = max(found.count(), 1)
-    beside = found.select(F.explode("near").alias("x")).filter("x.first").groupBy("x.e", "x.t").agg(F.count(F.lit(1)).alias("n_et"))
-    entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    told = beside.join(entities, "e").join(_term_counts(assessments, text), "t")
+    n = max(assessments.count(), 1)
+    pairs = cut_lineage(_pairs(assessments, text))
+    entities = pairs.filter("t = 0").select("e", F.col("n").alias("n_e"))
+    told = pairs.filter("t <> 0").withColumnRenamed("n", "n_et").join(entities, "e").join(_term_counts(assessments, text), "t")
     base = F.col("n_e") / F.lit(float(n))
-    share = F.log((F.col("n_et") + PRIOR * base) / (F.col("n_t") + PRIOR) / base) / -F.log(base)
-    return told.filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= GENERALISE).select("e", "t", (F.col("share") >= REMOVE).alias("removed"))
+    prior = PRIOR * F.greatest(F.lit(1.0), F.col("d") / CONTEXT)
+    share = F.log((F.col("n_et") + prior * base) / (F.col("n_t") + prior) / base) / -F.log(base)
+    risky = told.filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= GENERALISE)
+    return cut_lineage(risky.groupBy("t").agg(F.max(F.col("share") >= REMOVE).alias("removed")))
 
 
-def _judged(assessments: DataFrame, key: str, text: str) -> DataFrame:
-    """`_found` with the term spans that disclose an entity, as (start, removed, end)."""
+def _bits(risky: DataFrame) -> np.ndarray:
+    """A bit per term number modulo BITS; at most BITS / 64 rows, whatever the number of terms."""
+    place = F.pmod("t", F.lit(BITS))
+    got = risky.select((place / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(pmod(t, 64) AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bit").to_numpy()
+    return out
+
+
+def _set(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    place = terms % BITS
+    return (terms != 0) & ((bits[place // 64] >> (place % 64)) & 1 == 1)
+
+
+def _suspects(texts: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which texts hold personal data or a word that may be a risky term."""
+    codes, at, distinct = tx.words(texts)
+    names = np.array([_h64(t) if (t := term(w)) else 0 for w in distinct.to_pylist()], np.int64)
+    before = np.concatenate([[0], np.cumsum(_set(bits, names)[codes] if len(codes) else np.zeros(0, np.int64))])
+    return (before[at[1:]] > before[at[:-1]]) | np.array([bool(base_spans(t)) for t in texts.to_pylist()], bool)
+
+
+def _judged(assessments: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
+    """`_found` with the term spans that disclose an entity, anywhere in any text, as (start, removed, end); and `_bits`."""
     found = _found(assessments, key, text)
-    risky = disclosing_terms(found, assessments, text)
-    hits = found.select("row", F.explode("near").alias("x")).select("row", "x.e", "x.t", "x.a", "x.b").join(risky, ["e", "t"])
-    hits = hits.groupBy("row", "a", "b").agg(F.max("removed").alias("removed")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "removed", "b"))).alias("terms"))
-    return found.join(hits, "row", "left")
+    risky = disclosing_terms(assessments, text)
+    bits = _bits(risky)
+
+    def find(batches):
+        for batch in batches:
+            for part in tx.slices(batch, text):
+                texts = tx.plain(part.column(text))
+                for value in texts.filter(pa.array(_suspects(texts, bits))).to_pylist():
+                    words = outside(value, base_spans(value))
+                    t = np.array([w[0] for w in words], np.int64)
+                    some = np.flatnonzero(_set(bits, t))
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([pa.array([_whole(value)] * len(some)), pa.array(t[some]), pa.array([words[i][1] for i in some], pa.int32()), pa.array([words[i][2] for i in some], pa.int32())], names=["whole", "t", "a", "b"])
+
+    hits = assessments.select(text).mapInArrow(find, "whole string, t long, a int, b int").distinct().join(risky, "t")
+    hits = hits.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("a", "removed", "b"))).alias("terms"))
+    return found.join(hits, "whole", "left"), bits
 
 
 def find_disclosures(assessments: DataFrame, key: str = "frame_index", text: str = "rationale") -> DataFrame:
-    """Personal data of each rationale and the terms beside it that give it away.
+    """Personal data of each rationale and the terms that give some of it away.
 
     Base kinds are e-mail, ip, card (Luhn) and phone. Each mention is a protected
-    entity; the words around mentions and the number of rationales that hold them, over the
+    entity; the words of the rationales that mention it and the number of rationales that hold them, over the
     whole table, tell how much of an entity's information a term discloses. Terms
-    over the thresholds, standing beside a mention of that entity, become spans of
-    kind `generalise` or `remove`.
+    over the thresholds become spans of kind `generalise` or `remove` wherever they stand, also
+    in rationales that do not mention the entity.
 
     Columns: `key`, n_email, n_ip, n_card, n_phone, base_sha256 (of kind:start:end of base
     spans), spans (all of them, by start, then kind). A null rationale counts as empty;
     rows with equal or null keys are judged one by one; an empty table gives no rows.
     """
-    judged = _judged(assessments, key, text)
+    judged, _ = _judged(assessments, key, text)
     kind = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform("base", lambda s: F.struct(s["a"].alias("a"), s["k"].alias("k"), F.concat_ws(":", F.get(kind, s["k"]), s["a"], s["b"]).alias("s")))
     terms = F.transform("terms", lambda s: F.struct(s["a"].alias("a"), F.when(s["removed"], 5).otherwise(4).alias("k"), F.concat_ws(":", F.when(s["removed"], "remove").otherwise("generalise"), s["a"], s["b"]).alias("s")))
@@ -214,20 +279,22 @@ def clean_text(text: str, base: list, terms: list) -> str:
 def sanitize(assessments: DataFrame, key: str = "frame_index", text: str = "rationale") -> DataFrame:
     """All assessments with their columns; personal data and disclosing terms in `text` replaced.
 
-    Rationales without personal data are passed through as they are.
+    Rationales without personal data and risky terms are passed through as they are.
     """
-    spans = _judged(assessments, key, text).filter("whole IS NOT NULL").groupBy("whole").agg(F.first("base").alias("base"), F.first("terms").alias("terms"))
+    judged, bits = _judged(assessments, key, text)
+    spans = judged.filter("size(base) > 0 OR terms IS NOT NULL").groupBy("whole").agg(F.first("base").alias("base"), F.first("terms").alias("terms"))
     schema, at = assessments.schema, assessments.columns.index(text)
 
     def without(batches):
         for batch in batches:
             for part in tx.slices(batch, text):
-                yield part.filter(pa.array([not base_spans(t) for t in tx.plain(part.column(text)).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array(~_suspects(tx.plain(part.column(text)), bits)))
 
     def having(batches):
         for batch in batches:
             for part in tx.slices(batch, text):
-                found = [xxhash.xxh3_128_hexdigest(t.encode()) if base_spans(t) else None for t in tx.plain(part.column(text)).to_pylist()]
+                texts = tx.plain(part.column(text))
+                found = [_whole(t) if s else None for t, s in zip(texts.to_pylist(), _suspects(texts, bits))]
                 wide = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), part.to_struct_array()], names=["whole", "one"])
                 yield wide.filter(pa.array([f is not None for f in found], pa.bool_()))
 
@@ -235,9 +302,9 @@ def sanitize(assessments: DataFrame, key: str = "frame_index", text: str = "rati
         for batch in batches:
             rows, base, terms = batch.column("one"), batch.column("base").to_pylist(), batch.column("terms").to_pylist()
             fields = rows.flatten()
-            texts = [clean_text(t, [tuple(x.values()) for x in b], [tuple(x.values()) for x in (m or [])]) for t, b, m in zip(fields[at].to_pylist(), base, terms)]
+            texts = [clean_text(t, [tuple(x.values()) for x in (b or [])], [tuple(x.values()) for x in (m or [])]) if b or m else t for t, b, m in zip(fields[at].to_pylist(), base, terms)]
             fields[at] = pa.array(texts, fields[at].type)
             yield pa.RecordBatch.from_arrays(fields, names=schema.names)
 
-    dirty = assessments.mapInArrow(having, f"whole string, one {schema.simpleString()}").join(spans, "whole").mapInArrow(replace, schema)
+    dirty = assessments.mapInArrow(having, f"whole string, one {schema.simpleString()}").join(spans, "whole", "left").mapInArrow(replace, schema)
     return assessments.mapInArrow(without, schema).unionAll(dirty)

@@ -138,6 +138,18 @@ def test_terms_beside_an_entity_of_one_document(spark):
     assert got[0] == "generalise:9:18,email:22:38" and not any(got[i] for i in range(1, 401))
 
 
+def test_disclosing_terms_anywhere(spark):
+    far = " ".join(f"filler{j}" for j in range(9))
+    rows = [(i, f"mail boss@example.org {far} and then quarryman {i}") for i in range(40)] + [(40, "here the quarryman alone")]
+    rows += [(100 + i, f"mail then and {far} here the alone {i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "frame_index long, rationale string")
+    got = {r["frame_index"]: r["spans"] for r in disclosure.find_disclosures(df).collect()}
+    at = rows[0][1].index("quarryman")
+    assert f"{at}:{at + 9}" in got[0] and got[40].endswith(":9:18") and not any(got[100 + i] for i in range(4000))
+    clean = {r["frame_index"]: r["rationale"] for r in disclosure.sanitize(df).collect()}
+    assert "quarryman" not in clean[40] + clean[0] and clean[100] == rows[41][1] and len(clean) == len(rows)
+
+
 def test_near_duplicates(spark, table, empty):
     sets = []
     for _, t in TEXTS:
