@@ -224,11 +224,57 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (9.81 + (i % 3 - 1) / 200.0).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), F.when(phase % 3 == 2, 0.3).otherwise(0.001).alias("gz"))
 
 
-@query("X5_dead_reckoning")
+SQL_RECKONED = f"""WITH RECURSIVE motion AS (
+      SELECT session_id, point_id AS seq, (utc_ms % 72000) / 10000.0::DOUBLE AS t, CAST(floor((utc_ms % 72000) / 12000.0::DOUBLE) AS BIGINT) % 3 AS phase, point_id AS i FROM v_track
+    ), ranged AS (
+      SELECT session_id, seq, t, CASE phase WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN -0.8::DOUBLE ELSE 0.0::DOUBLE END * 0.2::DOUBLE + (i % 5 - 2) / 200.0::DOUBLE AS ax,
+        CASE phase WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN -0.8::DOUBLE ELSE 0.0::DOUBLE END + (i % 7 - 3) / 200.0::DOUBLE AS ay, 9.81::DOUBLE + (i % 3 - 1) / 200.0::DOUBLE AS az,
+        CASE WHEN phase = 2 THEN 0.3::DOUBLE ELSE 0.001::DOUBLE END AS gz
+      FROM motion WHERE t <= CASE WHEN session_id % 10 = 0 THEN 0.0 ELSE 7.0 END
+    ), s AS (
+      SELECT *, row_number() OVER w AS rn, lag(t) OVER w AS pt, count(*) OVER (PARTITION BY session_id) AS n, least(3.0::DOUBLE, greatest(0.1::DOUBLE, max(t) OVER (PARTITION BY session_id))) AS lim
+      FROM ranged WINDOW w AS (PARTITION BY session_id ORDER BY t, seq) QUALIFY n >= 2
+    ), opening AS (
+      SELECT * FROM (SELECT *, bool_or(t <= lim) OVER (PARTITION BY session_id) AS rested FROM s) WHERE CASE WHEN rested THEN t <= lim ELSE rn <= 240 END
+    ), med AS (
+      SELECT session_id, mx, my, sqrt(mx * mx + my * my + mz * mz) AS len FROM (
+        SELECT session_id, quantile_cont(ax, 0.5) AS mx, quantile_cont(ay, 0.5) AS my, quantile_cont(az, 0.5) AS mz FROM opening GROUP BY 1)
+    ), rate AS (
+      SELECT session_id, 1.0::DOUBLE / greatest(coalesce(1.0::DOUBLE / quantile_cont(t - pt, 0.5) FILTER (t > pt), 120.0::DOUBLE), 1.0::DOUBLE) AS dt0 FROM s GROUP BY 1
+    ), p AS (
+      SELECT session_id, seq, t, rn, CASE WHEN t - pt > 0 AND t - pt <= 0.2 THEN t - pt ELSE dt0 END AS dt, gz,
+        ay - CASE WHEN len < 1e-6 THEN 0.0::DOUBLE ELSE my / len * {vocab.GRAVITY_MPS2}::DOUBLE END AS lr, ax - CASE WHEN len < 1e-6 THEN 0.0::DOUBLE ELSE mx / len * {vocab.GRAVITY_MPS2}::DOUBLE END AS li,
+        abs(sqrt(ax * ax + ay * ay + az * az) - {vocab.GRAVITY_MPS2}::DOUBLE) < 0.25 AND abs(gz) < 0.035 AS still
+      FROM s JOIN med USING (session_id) JOIN rate USING (session_id)
+    ), q AS (
+      SELECT *, radians(90.0::DOUBLE) + sum(CASE WHEN rn > 1 THEN gz * dt ELSE 0.0::DOUBLE END) OVER (PARTITION BY session_id ORDER BY rn) AS yaw FROM p
+    ), route AS (
+      SELECT session_id, rn, 0.0::DOUBLE AS pr, 0.0::DOUBLE AS pi, 0.0::DOUBLE AS vr, 0.0::DOUBLE AS vi, 0.0::DOUBLE AS east, 0.0::DOUBLE AS north FROM q WHERE rn = 1
+      UNION ALL
+      SELECT session_id, rn, pr, pi, ur * k, ui * k, east + ur * k * dt, north + ui * k * dt FROM (
+        SELECT *, CASE WHEN still AND size < 0.15 THEN 0.0::DOUBLE WHEN NOT still AND size > 35.0 THEN 35.0::DOUBLE / size ELSE 1.0::DOUBLE END AS k FROM (
+          SELECT *, sqrt(ur * ur + ui * ui) AS size FROM (
+            SELECT *, CASE WHEN still THEN vr * 0.5::DOUBLE ELSE (vr + (pr * cos(yaw) - pi * sin(yaw)) * dt) * 0.999::DOUBLE END AS ur,
+              CASE WHEN still THEN vi * 0.5::DOUBLE ELSE (vi + (pr * sin(yaw) + pi * cos(yaw)) * dt) * 0.999::DOUBLE END AS ui FROM (
+              SELECT q.session_id, q.rn, 0.9::DOUBLE * r.pr + (1.0::DOUBLE - 0.9::DOUBLE) * q.lr AS pr, 0.9::DOUBLE * r.pi + (1.0::DOUBLE - 0.9::DOUBLE) * q.li AS pi,
+                r.vr, r.vi, r.east, r.north, q.yaw, q.dt, q.still FROM route AS r JOIN q ON q.session_id = r.session_id AND q.rn = r.rn + 1))))
+    ), placed AS (
+      SELECT session_id, seq, t, east, north, sqrt(vr * vr + vi * vi) AS speed_mps, CASE WHEN rn = 1 THEN 0.0::DOUBLE ELSE degrees(yaw) - 360 * floor(degrees(yaw) / 360) END AS heading_deg, '{DR.IMU_SOURCE}' AS telemetry_source
+      FROM route JOIN q USING (session_id, rn)
+      UNION ALL
+      SELECT session_id, unnest([0, 1, 2, 3, 4, 5, 6, 7][: CASE WHEN session_id % 10 = 0 THEN 1 ELSE 8 END])::BIGINT AS k, k::DOUBLE, 8.0::DOUBLE * k, 0.0::DOUBLE, 8.0::DOUBLE, 90.0::DOUBLE, '{DR.FALLBACK_SOURCE}'
+      FROM (SELECT DISTINCT session_id FROM v_track) WHERE session_id NOT IN (SELECT session_id FROM s)
+    )
+    SELECT session_id, seq, t, round(48.0 + north / {vocab.EARTH_RADIUS_TRACK_M}::DOUBLE * (180 / pi()), 7) AS lat, round(17.0 + east / ({vocab.EARTH_RADIUS_TRACK_M}::DOUBLE * cos(radians(48.0))) * (180 / pi()), 7) AS lon,
+      round(speed_mps, 6) AS speed_mps, round(heading_deg, 6) AS heading_deg, telemetry_source FROM placed"""
+
+
+@query("X5_dead_reckoning", SQL_RECKONED, ("v_track",))
 def x5(spark, sf_dir):
     m = motion(spark, sf_dir)
     starts = m.select("session_id").distinct().select("session_id", F.lit(48.0).alias("lat0"), F.lit(17.0).alias("lon0"), F.when(F.col("session_id") % 10 == 0, 0.0).otherwise(7.0).alias("duration_s"))
-    return DR.dead_reckon(m, starts).select("session_id", "seq", "t", "lat", "lon", "speed_mps", "heading_deg", "telemetry_source")
+    route = DR.dead_reckon(m, starts)
+    return route.select("session_id", "seq", "t", *[F.round(c, d).alias(c) for c, d in (("lat", 7), ("lon", 7), ("speed_mps", 6), ("heading_deg", 6))], "telemetry_source")
 
 
 @query("X5_fallback_route", f"""WITH d AS (SELECT session_id, (max(utc_ms) - min(utc_ms)) / 8000.0::DOUBLE AS d FROM v_track GROUP BY 1),

@@ -227,6 +227,7 @@ def with_views(query: str, *names: str) -> str:
         wanted.insert(wanted.index("v_scores"), "v_embed")
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in wanted)
     text = query.strip()
-    if text.upper().startswith("WITH "):
-        return f"WITH {ctes}, {text[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(start):
+            return f"{start}{ctes}, {text[len(start):]}"
     return f"WITH {ctes} {text}"
