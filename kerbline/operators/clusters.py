@@ -8,8 +8,6 @@ from itertools import batched
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -20,6 +18,7 @@ from pyspark.sql import types as T
 from kerbline import vocab
 from kerbline.functions import geometry as G
 from kerbline.functions.vectors import l2_normalise
+from kerbline.operators import kmeans
 from kerbline.operators import metrics as M
 from kerbline.operators.manifests import top_per_group
 from kerbline.session import MAX_BROADCAST_BYTES, cut_lineage, int_setting
@@ -103,25 +102,37 @@ def with_features(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def kmeans_search(
-    df: DataFrame, train: Column, candidates: Sequence[int] = tuple(vocab.CLUSTER_K_CANDIDATES), seed: int = 42, vector: str = "embedding"
+    df: DataFrame, train: Column, candidates: Sequence[int] = tuple(vocab.CLUSTER_K_CANDIDATES), seed: int = 42, vector: str = "embedding", starts: int = kmeans.STARTS
 ) -> tuple[DataFrame, DataFrame, dict[int, float]]:
-    """(assignments, centroids, silhouette per k): best cosine silhouette on train, first of equals."""
-    rows = with_features(df, vector)
-    fit_rows = rows.where(train).select("features").persist()
-    n = fit_rows.count()
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="kmeans_cluster", distanceMeasure="cosine")
-    scores: dict[int, float] = {}
-    models = {}
-    for k in [c for c in candidates if c < n] or [min(n, 2)]:
-        model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features", predictionCol="kmeans_cluster").fit(fit_rows)
-        models[k], scores[k] = model, float(evaluator.evaluate(model.transform(fit_rows)))
-    fit_rows.unpersist()
-    best = max(scores, key=lambda k: (scores[k], -k))
-    model = models[best]
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centroids = df.sparkSession.createDataFrame(centers, "cluster int, embedding array<double>")
-    out = model.transform(rows).withColumn("kmeans_cluster", F.col("kmeans_cluster").cast("short")).drop("features")
-    return out, centroids, scores
+    """(assignments, centroids, silhouette per k): best cosine silhouette on train, first of equals.
+
+    Every k has `starts` starts and keeps the one of least inertia; all of them share
+    their passes. A k needs more train rows than clusters; with none left it is an
+    error. Fitting the winner again with the same seed would give it again, so its
+    centroids are the ones emitted.
+    """
+    rows = df.where(train).select(F.col(vector).cast("array<double>").alias("v")).persist()
+    n = rows.count()
+    counts = [k for k in candidates if k < n]
+    if not counts:
+        raise ValueError(f"{n} train rows for {min(candidates)} clusters")
+    models = list(kmeans.best_starts(kmeans.fit(rows, counts, starts, seed=seed)).values())
+    scores = dict(zip(counts, kmeans.silhouettes(rows, models)))
+    rows.unpersist()
+    best = first_best(scores)
+    centroids = next(m.centroids for m in models if m.k == best)
+    table = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster int, embedding array<double>")
+    out = kmeans.assigned(df, centroids, "kmeans_cluster", vector)
+    return out.withColumn("kmeans_cluster", F.col("kmeans_cluster").cast("short")), table, scores
+
+
+def first_best(scores: dict[int, float]) -> int:
+    """The first key whose score none before it reaches."""
+    best = None
+    for k, score in scores.items():
+        if best is None or score > scores[best]:
+            best = k
+    return best
 
 
 def survey_cluster_count(n: int) -> int:
@@ -132,14 +143,16 @@ def survey_cluster_count(n: int) -> int:
     return min(n, max(2, min(12, round((n / 2.0) ** 0.5))))
 
 
-def survey_clusters(df: DataFrame, vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """k-means on unit vectors with k from the sample count."""
+def survey_clusters(df: DataFrame, vector: str = "embedding", seed: int = 42, starts: int = kmeans.STARTS) -> DataFrame:
+    """k-means on unit vectors with k from the sample count, the best of several starts."""
     k = survey_cluster_count(df.count())
-    rows = with_features(df.withColumn(vector, l2_normalise(F.col(vector))), vector)
     if k <= 1:
-        return rows.withColumn("cluster", F.lit(0)).drop("features")
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-    return model.transform(rows).drop("features")
+        return df.withColumn("cluster", F.lit(0))
+    unit = df.withColumn(vector, l2_normalise(F.col(vector)))
+    rows = unit.select(F.col(vector).cast("array<double>").alias("v")).persist()
+    model = kmeans.best_starts(kmeans.fit(rows, [k], starts, seed=seed))[k]
+    rows.unpersist()
+    return kmeans.assigned(unit, model.centroids, "cluster", vector)
 
 
 def project_2d(tables: dict[str, DataFrame], vector: str = "embedding") -> DataFrame:

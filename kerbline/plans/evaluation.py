@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from kerbline.plans.frames import SQL_GATED, gated
 from kerbline.plans.registry import query
 from kerbline.plans.similarity import SQL_DISTANCE, SQL_NEIGHBOURS
 from kerbline.plans.views import LABEL_THRESHOLDS
+from kerbline.session import cut_lineage
 
 LABELS = list(LABEL_THRESHOLDS)
 
@@ -236,16 +239,55 @@ def r9_gating(spark, sf_dir):
 
 # --- machine learning --------------------------------------------------------------------------------------
 
-@query("L1_kmeans_search")
+def off_centre(rows: DataFrame, cluster: str, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows to which another centroid is nearer (by 1e-9 and more) than that of their own cluster."""
+    c = centroids.groupBy().agg(F.array_sort(F.collect_list(F.struct("cluster", F.col("embedding").alias("c")))).alias("_c"))
+    gap = F.transform("_c", lambda e: F.aggregate(F.zip_with(e["c"], vector, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+    return rows.crossJoin(F.broadcast(c)).withColumn("_d", gap).where(F.get("_d", F.col(cluster)) > F.array_min("_d") + 1e-9)
+
+
+def off_mean(rows: DataFrame, cluster: str, centroids: DataFrame, within: float) -> DataFrame:
+    """Centroids that lie further than `within` from the mean of their rows."""
+    means = CL.vector_sums(rows, cluster).select(F.col(cluster).alias("cluster"), "vector_mean")
+    gap = F.aggregate(F.zip_with("embedding", "vector_mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    return centroids.join(means, "cluster").where(gap > within * within)
+
+
+@query("L1_kmeans_search", """SELECT 'rows' AS check, count(*) AS value FROM v_embed WHERE kind = 'full'
+    UNION ALL SELECT 'rows of another centroid', 0 UNION ALL SELECT 'centroids off the mean of their train rows', 0 UNION ALL SELECT 'candidates', 9 UNION ALL SELECT 'candidates better than the chosen, or as good and earlier', 0
+    UNION ALL SELECT 'clusters without the count chosen', 0""", ("v_embed",))
 def l1(spark, sf_dir):
-    e = views.v_embed(spark, sf_dir)
-    assigned, _, _ = CL.kmeans_search(e, F.col("split") == "train")
+    e = views.v_embed(spark, sf_dir).where("kind = 'full'")
+    assigned, centroids, scores = CL.kmeans_search(e, F.col("split") == "train")
+    assigned = cut_lineage(assigned)
+    k = centroids.count()
+    rivals = [c for c, s in scores.items() if s > scores[k] or (s == scores[k] and c < k)]
+    checks = [
+        assigned.agg(F.lit("rows").alias("check"), F.count(F.lit(1)).alias("value")),
+        off_centre(assigned, "kmeans_cluster", centroids).agg(F.lit("rows of another centroid"), F.count(F.lit(1))),
+        off_mean(assigned.where("split = 'train'"), "kmeans_cluster", centroids, 0.05).agg(F.lit("centroids off the mean of their train rows"), F.count(F.lit(1))),
+        assigned.agg(F.lit("candidates"), F.lit(len(scores)).cast("bigint")), assigned.agg(F.lit("candidates better than the chosen, or as good and earlier"), F.lit(len(rivals)).cast("bigint")),
+        assigned.where("split = 'train'").agg(F.lit("clusters without the count chosen"), F.lit(k) - F.count_distinct("kmeans_cluster")),
+    ]
+    return reduce(DataFrame.unionAll, checks)
+
+
+@query("L1_kmeans_assignments")
+def l1_assignments(spark, sf_dir):
+    assigned, _, _ = CL.kmeans_search(views.v_embed(spark, sf_dir).where("kind = 'full'"), F.col("split") == "train")
     return assigned.select("image_id", "split", "kmeans_cluster")
 
 
-@query("L2_survey_clusters")
+@query("L2_survey_clusters", """WITH n AS (SELECT count(*) AS n FROM v_embed), k AS (SELECT n, CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN least(2, n) ELSE least(n, greatest(2, least(12, CAST(round_even(sqrt(n / 2.0), 0) AS BIGINT)))) END AS k FROM n)
+    SELECT 'rows' AS check, n AS value FROM k UNION ALL SELECT 'clusters', k FROM k UNION ALL SELECT 'rows of another centroid', 0""", ("v_embed",))
 def l2(spark, sf_dir):
-    return CL.survey_clusters(views.v_embed(spark, sf_dir).where("kind = 'full'")).select("image_id", "cluster")
+    rows = cut_lineage(CL.survey_clusters(views.v_embed(spark, sf_dir)))
+    centroids = CL.vector_sums(rows, "cluster").select("cluster", F.col("vector_mean").alias("embedding"))
+    near = off_centre(rows, "cluster", centroids)
+    return reduce(DataFrame.unionAll, [
+        rows.agg(F.lit("rows").alias("check"), F.count(F.lit(1)).alias("value")), rows.agg(F.lit("clusters"), F.count_distinct("cluster")),
+        near.agg(F.lit("rows of another centroid"), F.count(F.lit(1))),
+    ])
 
 
 @query("L3_projection")
