@@ -7,7 +7,6 @@ from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,7 +18,6 @@ from kerbline import vocab
 from kerbline.functions import geometry as G
 from kerbline.functions.vectors import l2_normalise
 from kerbline.operators import kmeans
-from kerbline.operators import metrics as M
 from kerbline.operators.manifests import top_per_group
 from kerbline.session import MAX_BROADCAST_BYTES, cut_lineage, int_setting
 
@@ -188,26 +186,6 @@ def dense_head(
     return scored.select(*df.columns, *[F.get("_p", F.lit(i)).alias(f"p_{x}") for i, x in enumerate(labels)])
 
 
-def train_heads(df: DataFrame, labels: Sequence[str], train: Column, vector: str = "embedding", max_iter: int = 20) -> DataFrame:
-    """One weighted logistic head per label; returns all rows with `p_<label>`.
-
-    Positives are weighted by the negative-to-positive ratio of the train rows.
-    """
-    weights = {r["label"]: r["pos_weight"] for r in M.positive_weights(df.where(train), labels).collect()}
-    rows = with_features(df, vector)
-    fit_rows = rows.where(train).persist()
-    for x in labels:
-        weighted = fit_rows.withColumn("_w", F.when(F.col(f"y_{x}") == 1, F.lit(float(weights[x]))).otherwise(F.lit(1.0)))
-        lr = LogisticRegression(
-            featuresCol="features", labelCol=f"y_{x}", weightCol="_w", maxIter=max_iter, regParam=1e-4,
-            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_hit",
-        )
-        model = lr.fit(weighted)
-        rows = model.transform(rows).withColumn(f"p_{x}", vector_to_array(F.col("_prob"))[1]).drop("_prob", "_raw", "_hit")
-    fit_rows.unpersist()
-    return rows.drop("features")
-
-
 def embedding_table(manifest: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray], dim: int, tile_split: str = "val") -> DataFrame:
     """One `full` row per image plus six tile rows for `tile_split`, scored batch by batch.
 
