@@ -16,14 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.operators import ordered
-from kerbline.session import cut_lineage, work_path
+from kerbline.session import MAX_BROADCAST_BYTES, cut_lineage, int_setting
 
 #: Payload of one shard; from ROOT_BYTES each, the number of shards grows with the square root of the input.
 SHARD_BYTES, ROOT_BYTES = 16 << 20, 1 << 20
 #: Rows of the sample per shard that decides where shards begin.
 SAMPLES = 20
-#: Parts into which the rows of one payload are dealt to find their response.
+#: Parts into which the frames of one payload are dealt to find their response.
 SALT = 16
 #: Bytes of one read, and of the payloads that a reader hands on at once.
 READ_BYTES, HAND_BYTES = 1 << 20, 4 << 20
@@ -105,34 +104,28 @@ class Roll:
 # --- which record answers for equal payloads, and where shards begin -----------------------------
 
 
-def _captured(frames: DataFrame, key: str, uri: str, payload: str) -> DataFrame:
-    """The rows with a number and the digest of their payload, stored: all later steps read them again by that number."""
+def _facts(frames: DataFrame, key: str, uri: str, payload: str) -> DataFrame:
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = frames.select(F.col(key).alias("id"), F.col(uri).cast("string").alias("uri"), F.sha2(body, 256).alias("same"), F.octet_length(body).cast("long").alias("size"), body.alias("payload"))
-    path = work_path(frames.sparkSession, "captured")
-    rows.withColumn("uid", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
-    return frames.sparkSession.read.parquet(path)
+    return frames.select(F.col(key).alias("id"), F.col(uri).cast("string").alias("uri"), F.sha2(body, 256).alias("same"), F.octet_length(body).cast("long").alias("size"), body.alias("payload"))
 
 
-def _planned(rows: DataFrame, least: int) -> DataFrame:
-    """Per row `copy` (from 1, among rows alike), `record_type`, and id and uri of the response it refers to."""
-    slim = rows.select("uid", "id", "uri", "same", "size")
-    kept = slim.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "uri")).alias("kept")).filter("n > 1")
-    # One payload may hold a large share of the rows: they meet its response in several tasks.
+def _planned(groups: DataFrame, least: int) -> DataFrame:
+    """One row per record: `copy` (from 1, among frames alike), `record_type`, and key and uri of the response it refers to."""
+    kept = groups.groupBy("same").agg(F.sum("n").alias("total"), F.max(F.struct("id", "uri")).alias("kept")).filter("total > 1")
+    # One payload may belong to a large share of the frames: they meet its response in several tasks.
     salted = kept.select("same", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    shared = slim.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALT)).cast("int")).join(salted, ["same", "salt"]).drop("salt")
-    alike = ("same", "id", "uri")
-    shared = ordered.KeyProfile.of(shared, alike).layout(shared, ("uid",)).scan(shared, copy=ordered.row_number())
+    salt = F.pmod(F.xxhash64("id", "uri"), F.lit(SALT)).cast("int")
+    rows = groups.withColumn("salt", salt).join(salted, ["same", "salt"], "left").select("id", "uri", "same", "size", "n", "kept", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     first = F.col("id").eqNullSafe(F.col("kept.id")) & F.col("uri").eqNullSafe(F.col("kept.uri")) & (F.col("copy") == 1)
-    marks = shared.select("uid", "copy", "kept", (~first & (F.col("size") >= least)).alias("again"))
-    again = F.coalesce("again", F.lit(False))
-    return slim.join(marks, "uid", "left").select(
-        "uid", "id", "uri", "same", "size", F.coalesce(F.col("copy").cast("long"), F.lit(1).cast("long")).alias("copy"), F.when(again, "revisit").otherwise("response").alias("record_type"),
+    again = F.col("kept").isNotNull() & ~first & (F.col("size") >= least)
+    return rows.select(
+        "id", "uri", "same", "copy", (F.col("n") > 1).alias("alike"), F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("kept.id").cast("string")).alias("kept_key"), F.when(again, F.col("kept.uri")).alias("kept_uri"),
     )
 
 
-ORDER = ["id", "uri", "same", "copy"]
+FRAME = ["id", "uri", "same"]
+ORDER = [*FRAME, "copy"]
 
 
 def _rank(row) -> tuple:
@@ -148,13 +141,30 @@ def _starts(plan: DataFrame, shards: int) -> list[tuple]:
     return [lot[len(lot) * i // shards] for i in range(1, shards)]
 
 
-def _in_shards(plan: DataFrame, starts: list[tuple]) -> DataFrame:
+def _in_shards(rows: DataFrame, starts: list[tuple]) -> DataFrame:
     def place(batches):
         for batch in batches:
             at = [bisect_right(starts, _rank(r)) for r in zip(*(batch.column(c).to_pylist() for c in ORDER))]
             yield batch.append_column("shard", pa.array(at, pa.int32()))
 
-    return plan.mapInArrow(place, T.StructType([*plan.schema.fields, T.StructField("shard", T.IntegerType())]))
+    return rows.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())]))
+
+
+def _payloads(facts: DataFrame, placed: DataFrame, starts: list[tuple]) -> DataFrame:
+    """`shard`, the three columns of a frame and its payload: once for every shard that has records of it."""
+    names, rows = ["shard", *FRAME, "payload"], facts.select(*FRAME, "payload").withColumn("copy", F.lit(1).cast("long"))
+    wanted = placed.filter("alike").select(*FRAME, "shard").distinct()
+    n = wanted.count()
+    if not n:
+        return _in_shards(rows, starts).select(*names)
+    marks = wanted.select(F.struct(*FRAME).alias("frame")).distinct()
+    if n * 256 <= int_setting(facts.sparkSession, MAX_BROADCAST_BYTES):
+        marks = F.broadcast(marks)
+    rows = rows.withColumn("frame", F.struct(*FRAME))
+    single = _in_shards(rows.join(marks, "frame", "left_anti").drop("frame"), starts).select(*names)
+    several = rows.join(marks, "frame", "left_semi").groupBy("frame").agg(F.first("payload").alias("payload"))
+    several = several.join(wanted.select(F.struct(*FRAME).alias("frame"), "shard"), "frame").select("shard", "frame.*", "payload")
+    return single.unionByName(several)
 
 
 # --- writer and reader ---------------------------------------------------------------------------
@@ -179,7 +189,8 @@ def write_archive(
 
     A null payload counts as empty; a null key sorts first and has no key field; a null
     uri becomes urn:record:<key>, other characters than visible ASCII are percent-encoded.
-    Frames alike in all three columns are numbered. Other columns are not read; an empty
+    Frames alike in all three columns are numbered and may lie in several shards. `frames`
+    is read twice; a payload that differs then is an error. Other columns are not read; an empty
     table gives a manifest without files. An archive that has a manifest is an error.
     """
     spark = frames.sparkSession
@@ -187,23 +198,33 @@ def write_archive(
     if store.get_file_info(f"{root}/manifest.json").type != fs.FileType.NotFound:
         raise FileExistsError(f"{path} holds an archive")
     store.create_dir(root)
-    rows = _captured(frames, key, uri, payload)
-    plan = cut_lineage(_planned(rows, least_revisit))
-    total = plan.agg(F.sum("size")).first()[0] or 0
+    facts = _facts(frames, key, uri, payload)
+    groups = cut_lineage(facts.groupBy(*FRAME, "size").agg(F.count(F.lit(1)).alias("n")))
+    total = groups.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
     shards = max(1, min(-(-total // SHARD_BYTES), isqrt(total // ROOT_BYTES)))
-    placed = _in_shards(plan, _starts(plan, shards)).withColumn("key", F.col("id").cast("string")).drop("size")
-    dealt = placed.join(rows.select("uid", "payload"), "uid").drop("uid").repartitionById(shards, "shard").sortWithinPartitions("shard", *ORDER)
+    plan = _planned(groups, least_revisit)
+    starts = _starts(plan, shards)
+    placed = cut_lineage(_in_shards(plan, starts).withColumn("key", F.col("id").cast("string")))
+    # Of a frame, its payload comes before its records.
+    both = placed.drop("alike").unionByName(_payloads(facts, placed, starts), allowMissingColumns=True)
+    dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", *FRAME, F.col("copy").asc_nulls_first())
 
     def write(batches):
-        roll = None
+        roll = frame = body = None
         done = []
         for batch in batches:
             payloads = batch.column("payload")
             for i, row in enumerate(batch.drop_columns(["payload"]).to_pylist()):
+                now = (row["shard"], *(row[c] for c in FRAME))
+                if row["copy"] is None:
+                    frame, body = now, payloads[i].as_py()
+                    continue
+                if now != frame:
+                    raise ValueError(f"frame {row['key']} differed between two reads of the frames")
                 if roll is None or roll.shard != row["shard"]:
                     done += [roll.close()] if roll and roll.out else []
                     roll = Roll(path, row["shard"], roll_bytes, date)
-                done += roll.add(record(row, payloads[i].as_py(), kind, date))
+                done += roll.add(record(row, body, kind, date))
         done += [roll.close()] if roll and roll.out else []
         schema = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
         yield pa.RecordBatch.from_pylist(done, schema=schema)
