@@ -17,6 +17,8 @@ from kerbline.session import cut_lineage
 
 #: Accuracy of the quantile sketch; the bracket starts this far on either side of the wanted quantile.
 SKETCH = 2_000
+#: Text that a task takes apart at once.
+SLICE_BYTES = 4 << 20
 #: Rows of one ordered chunk, until the number of chunks reaches its bound.
 CHUNK_ROWS = 4_096
 #: What each byte stands for: digits, letters in lower case and all bytes beyond ASCII are word bytes.
@@ -47,7 +49,7 @@ def bucket_counts(records: DataFrame, text: str, longest: int, buckets: int) ->
     def count(batches):
         held = np.zeros(buckets, np.int64)
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch, "text", SLICE_BYTES):
                 for crcs, _ in runs(tx.plain(part.column("text")), longest):
                     held += np.bincount(crcs % buckets, minlength=buckets)
         some = np.flatnonzero(held)
@@ -72,7 +74,7 @@ def weighed(records: DataFrame, key: str, text: str, longest: int, gains: np.nda
 
     def weigh(batches):
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch, "text", SLICE_BYTES):
                 words = features = weight = 0
                 for n, (crcs, at) in enumerate(runs(tx.plain(part.column("text")), longest), 1):
                     total = np.concatenate([[0], np.cumsum(gains[crcs % len(gains)])])
