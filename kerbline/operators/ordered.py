@@ -195,13 +195,14 @@ class Layout:
     def scan(self, df: DataFrame, **ops: Op) -> DataFrame:
         """`df` plus one column per op, computed in (keys, order)."""
         if self.splits is None:
-            window = self._window()
-            return df.select("*", *[_plain(op, window).alias(name) for name, op in ops.items()])
+            windows = self._windows()
+            return df.select("*", *[_plain(op, *windows).alias(name) for name, op in ops.items()])
         return self._scan_chunks(df, ops)
 
-    def _window(self, *extra: str) -> Window:
-        cols = [F.col(c) for c in (*self.keys, *extra)] or [F.lit(0)]
-        return Window.partitionBy(*cols).orderBy(*self.order)
+    def _windows(self, *extra: str) -> tuple[Window, Window]:
+        """In order, and backwards: a frame that ends with its partition is evaluated anew for each row, one that begins with it is not."""
+        group = Window.partitionBy(*([F.col(c) for c in (*self.keys, *extra)] or [F.lit(0)]))
+        return group.orderBy(*self.order), group.orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
 
     def _scan_chunks(self, df: DataFrame, ops: dict[str, Op]) -> DataFrame:
         # The rows are read twice, for the summary and for the scan. Cutting the lineage here keeps
@@ -220,8 +221,8 @@ class Layout:
         if self.keys:
             marks = self.splits.select(*self.keys)
             carried = _join_small(carried, marks, self.keys, "left_semi")
-        local = self._window("_chunk")
-        rows = rows.select("*", *[_local(op, local).alias(f"_l_{n}") for n, op in ops.items()])
+        local = self._windows("_chunk")
+        rows = rows.select("*", *[_local(op, *local).alias(f"_l_{n}") for n, op in ops.items()])
         joined = _join_small(rows, carried, (*self.keys, "_chunk"), "left")
         return joined.select(
             *[F.col(c) for c in df.columns],
@@ -255,11 +256,7 @@ def _upto(window: Window) -> Window:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _onward(window: Window) -> Window:
-    return window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-
-
-def _plain(op: Op, w: Window) -> Column:
+def _plain(op: Op, w: Window, back: Window) -> Column:
     match op.kind:
         case "row_number":
             return F.row_number().over(w).cast("long")
@@ -278,7 +275,7 @@ def _plain(op: Op, w: Window) -> Column:
         case "last_valid":
             return F.last(op.value, ignorenulls=True).over(_upto(w))
         case "next_valid":
-            return F.first(op.value, ignorenulls=True).over(_onward(w))
+            return F.last(op.value, ignorenulls=True).over(_upto(back))
         case "group_first":
             return F.first(op.value, ignorenulls=True).over(_whole(w))
         case "group_max":
@@ -286,11 +283,11 @@ def _plain(op: Op, w: Window) -> Column:
     raise ValueError(f"unknown op {op.kind}")
 
 
-def _local(op: Op, w: Window) -> Column:
+def _local(op: Op, w: Window, back: Window) -> Column:
     # Lag and lead are wrapped so that "no neighbour here" differs from "neighbour is null".
     if op.kind in ("lag", "lead"):
-        return _plain(Op(op.kind, F.struct(op.value.alias("v"))), w)
-    return _plain(op, w)
+        return _plain(Op(op.kind, F.struct(op.value.alias("v"))), w, back)
+    return _plain(op, w, back)
 
 
 def _summary(op: Op, at: Column) -> Column:

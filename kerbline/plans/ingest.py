@@ -59,33 +59,55 @@ def stamp(ms):
     return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS")
 
 
-@query("S10_gpx_points", """SELECT point_id, CAST(utc_ms AS DOUBLE) AS utc_ms, lat, lon, alt_m, heading_deg FROM v_track WHERE lat IS NOT NULL""", ("v_track",))
-def s10(spark, sf_dir):
+def gpx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.v_track(spark, sf_dir)
     tag = lambda n, c: F.coalesce(F.concat(F.lit(f"<{n}>"), F.col(c).cast("string"), F.lit(f"</{n}>")), F.lit(""))
     zone = F.when(F.col("point_id") % 2 == 0, F.lit("Z")).otherwise(F.lit("+00:00"))
     xml = F.concat(F.lit('<trkpt lat="'), F.coalesce(F.col("lat").cast("string"), F.lit("")), F.lit('" lon="'), F.coalesce(F.col("lon").cast("string"), F.lit("")), F.lit('">'),
                    tag("ele", "alt_m"), F.lit("<time>"), stamp(F.col("utc_ms")), zone, F.lit("</time>"), tag("course", "heading_deg"), F.lit("</trkpt>"))
-    out = SRC.parse_gpx_elements(v.select("session_id", "point_id", xml.alias("value")))
-    return out.select("point_id", "utc_ms", "lat", "lon", "alt_m", "heading_deg")
+    return v.select("session_id", "point_id", xml.alias("value"))
 
 
-@query("S11_subtitle_blocks", """SELECT point_id, CAST(utc_ms AS DOUBLE) AS utc_ms, round((utc_ms % 86400000) / 1000.0::DOUBLE, 3) AS t, lat, lon, CASE WHEN point_id % 2 = 0 THEN alt_m END AS alt_m,
-    CASE WHEN point_id % 2 = 0 THEN speed_mps END AS speed_mps FROM v_track WHERE lat IS NOT NULL AND point_id % 9 <> 8""", ("v_track",))
-def s11(spark, sf_dir):
+@query("S10_gpx_points", """SELECT point_id, CAST(utc_ms AS DOUBLE) AS utc_ms, lat, lon, alt_m, heading_deg FROM v_track WHERE lat IS NOT NULL""", ("v_track",))
+def s10(spark, sf_dir):
+    return SRC.parse_gpx_elements(gpx_text(spark, sf_dir)).select("point_id", "utc_ms", "lat", "lon", "alt_m", "heading_deg")
+
+
+@query("S10_gpx_files", """SELECT CAST(utc_ms AS DOUBLE) AS utc_ms, lat, lon, alt_m, heading_deg FROM v_track WHERE lat IS NOT NULL""", ("v_track",))
+def s10_files(spark, sf_dir):
+    """All points written as text, each inside a segment of its own, and read back in byte ranges."""
+    path = work_path(spark, "gpx")
+    gpx_text(spark, sf_dir).select(F.concat(F.lit("<trk><trkseg>\n"), "value", F.lit("\n</trkseg></trk>"))).write.text(path)
+    return SRC.read_gpx(spark, path).select("utc_ms", "lat", "lon", "alt_m", "heading_deg")
+
+
+def subtitle_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even blocks carry labelled values, odd ones a GPS(lat, lon) pair; every ninth has no clock line."""
     v = views.v_track(spark, sf_dir)
     i, ms = F.col("point_id"), F.col("utc_ms") % 86_400_000
     clock = F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
-    # Even blocks carry labelled values, odd ones a GPS(lat, lon) pair; every ninth has no clock line.
     labelled = F.concat(F.lit("[latitude: "), text("lat"), F.lit("] [Longitude : "), text("lon"), F.lit("] [abs_alt: "), text("alt_m"), F.lit("] speed="), text("speed_mps"))
     paired = F.concat(F.lit("GPS: ("), text("lat"), F.lit(", "), text("lon"), F.lit(")"))
     exif = F.regexp_replace(stamp(F.col("utc_ms")), r"^(\d+)-(\d+)-(\d+)T", "$1:$2:$3 ")
     body = F.concat_ws("\n", F.when(i % 2 == 0, labelled).otherwise(paired), exif)
-    block = F.concat_ws("\n", (i + 1).cast("string"), F.when(i % 9 != 8, F.concat(clock, F.lit(" --> "), clock)), body)
-    out = SRC.parse_srt_blocks(v.select("session_id", "point_id", block.alias("value")))
+    return v.select("session_id", "point_id", F.concat_ws("\n", (i + 1).cast("string"), F.when(i % 9 != 8, F.concat(clock, F.lit(" --> "), clock)), body).alias("value"))
+
+
+@query("S11_subtitle_blocks", """SELECT point_id, CAST(utc_ms AS DOUBLE) AS utc_ms, round((utc_ms % 86400000) / 1000.0::DOUBLE, 3) AS t, lat, lon, CASE WHEN point_id % 2 = 0 THEN alt_m END AS alt_m,
+    CASE WHEN point_id % 2 = 0 THEN speed_mps END AS speed_mps FROM v_track WHERE lat IS NOT NULL AND point_id % 9 <> 8""", ("v_track",))
+def s11(spark, sf_dir):
+    out = SRC.parse_srt_blocks(subtitle_text(spark, sf_dir))
     return out.select("point_id", "utc_ms", F.round("t", 3).alias("t"), "lat", "lon", "alt_m", "speed_mps")
 
 
+@query("S11_subtitle_files", """SELECT CAST(utc_ms AS DOUBLE) AS utc_ms, round((utc_ms % 86400000) / 1000.0::DOUBLE, 3) AS t, lat, lon, CASE WHEN point_id % 2 = 0 THEN alt_m END AS alt_m,
+    CASE WHEN point_id % 2 = 0 THEN speed_mps END AS speed_mps FROM v_track WHERE lat IS NOT NULL AND point_id % 9 <> 8""", ("v_track",))
+def s11_files(spark, sf_dir):
+    path = work_path(spark, "subtitles")
+    subtitle_text(spark, sf_dir).select(F.concat("value", F.lit("\n"))).write.text(path)
+    return SRC.read_srt(spark, path).select("utc_ms", F.round("t", 3).alias("t"), "lat", "lon", "alt_m", "speed_mps")
+
+
 @query("S12_metadata_arrays", f"""
     WITH k AS (SELECT session_id || '/' || (point_id // {BLOCK}) AS sid, *, row_number() OVER (PARTITION BY session_id, point_id // {BLOCK} ORDER BY point_id) - 1 AS pos FROM v_track)
     SELECT sid AS session_id, pos AS point_id, lat, lon, heading_deg, round((point_id % 5000) / 10.0::DOUBLE, 3) AS t FROM k WHERE lat IS NOT NULL""", ("v_track",))

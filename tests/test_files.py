@@ -110,3 +110,46 @@ def test_gpx_prefixes_extensions_and_order(spark, tmp_path):
     assert [(r["lat"], r["lon"], r["alt_m"], r["speed_mps"], r["heading_deg"]) for r in got] == [
         (1.0, 3.0, None, None, None), (10.5, -20.25, 7.0, 3.5, 90.0), (11.0, 21.0, None, None, None)]
     assert [r["utc_ms"] for r in got] == [None, 1704067201000.0, None]
+
+
+def _in_ranges(spark, monkeypatch_bytes, read):
+    """The result of a reader whose files are cut into ranges of so many bytes."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(monkeypatch_bytes))
+    spark.conf.set("kerbline.maxRowsPerTask", "40")
+    try:
+        df = read()
+        return df.rdd.getNumPartitions(), df.orderBy("session_id", "point_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("kerbline.maxRowsPerTask")
+
+
+def test_gpx_ranges_give_the_points_of_the_whole_file(spark, tmp_path):
+    """Elements across cuts, on one line, self-closing, nested, opened and never closed; one file is empty."""
+    import re
+
+    points = [f'<{"g:" * (i % 3 == 0)}trkpt lat="{i % 80}.5" lon="{i}.25"><ele>{i}</ele><x><trkpt lat="0" lon="0"/></x></{"g:" * (i % 3 == 0)}trkpt >' if i % 5 else f'<wpt lon="{i}" lat="{i % 80}"/>' for i in range(150)]
+    body = "<gpx><trk><trkseg>" + "".join(points) + '</trkseg></trk><trkpt lat="1" lon="1"><ele>1</ele><wpt lat="2" lon="2"/></gpx>'
+    (tmp_path / "a.gpx").write_text(body)
+    (tmp_path / "b.gpx").write_text('<gpx>\n  <rtept lat="7" lon="8"/>\n</gpx>\n')
+    (tmp_path / "c.gpx").write_text("")
+    plain = re.findall(SRC.GPX_ELEMENT, re.sub(r"(</?)[\w.-]+:", r"\1", body))
+    parts, got = _in_ranges(spark, 300, lambda: SRC.gpx_elements(spark, str(tmp_path)))
+    mine = [re.sub(r"(</?)[\w.-]+:", r"\1", r["value"]) for r in got if r["session_id"].endswith("a.gpx")]
+    assert mine == plain and len(mine) == 151
+    assert [r["point_id"] for r in got if r["session_id"].endswith("a.gpx")] == list(range(151))
+    assert [r["value"] for r in got if r["session_id"].endswith("b.gpx")] == ['<rtept lat="7" lon="8"/>']
+    rows = SRC.read_gpx(spark, str(tmp_path / "a.gpx")).orderBy("point_id").collect()
+    assert [(r["lat"], r["lon"]) for r in rows[:3]] == [(0.0, 0.0), (1.5, 1.25), (2.5, 2.25)]
+
+
+def test_subtitle_ranges_give_the_blocks_of_the_whole_file(spark, tmp_path):
+    import re
+
+    blocks = [f"{i}\n00:00:{i % 60:02d},000 --> 00:00:{i % 60:02d},500\n[latitude: {i % 80}.5] [longitude: {i}.25]" + ("\nmore" if i % 4 else "") for i in range(120)]
+    whole = "﻿" + "".join(b + ("\n\n", "\n \t\n", "\n\n\n")[i % 3] for i, b in enumerate(blocks))
+    (tmp_path / "a.srt").write_bytes(whole.replace("\n", "\r\n").encode())
+    _, got = _in_ranges(spark, 256, lambda: SRC.srt_blocks(spark, str(tmp_path)))
+    assert [r["value"] for r in got] == [b.strip("\n") for b in re.split(r"\n[ \t]*\n", whole[1:]) if b.strip()]
+    assert SRC.read_srt(spark, str(tmp_path)).count() == 120
