@@ -95,7 +95,7 @@ def _draw(rows: DataFrame, held: list[np.ndarray | None], wanted: list[int], sal
     out: list[list] = [[] for _ in wanted]
     for r in drawn.orderBy("model", "rank").collect():  # at most the sum of `wanted`
         out[r["model"]].append(r["v"])
-    return [np.array(v).reshape(len(v), -1) for v in out]
+    return [np.array(v).reshape(len(v), len(v[0]) if v else 0) for v in out]
 
 
 def _weights(rows: DataFrame, held: list[np.ndarray]) -> list[np.ndarray]:
@@ -135,7 +135,7 @@ def seeded(rows: DataFrame, counts: Sequence[int], starts: int, seed: int) -> li
     held = _draw(rows, [None] * len(models), [1] * len(models), seed)
     for r in range(ROUNDS):
         more = _draw(rows, held, [2 * k for k, _ in models], seed + r + 1)
-        held = [np.concatenate([h, m.reshape(-1, h.shape[1])]) for h, m in zip(held, more)]
+        held = [np.concatenate([h, m]) if len(m) else h for h, m in zip(held, more)]
     weights = _weights(rows, held)
     return [Model(k, s, _spread(h, w, k, np.random.default_rng((seed, k, s)))) for (k, s), h, w in zip(models, held, weights)]
 
