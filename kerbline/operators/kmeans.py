@@ -143,7 +143,7 @@ def seeded(rows: DataFrame, counts: Sequence[int], starts: int, seed: int) -> li
 # --- iterations ----------------------------------------------------------------------------------
 
 
-def _sums(rows: DataFrame, models: list[Model]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[float]]:
+def cluster_sums(rows: DataFrame, models: list[Model]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[float]]:
     """Per model the rows and vector sums of its clusters and its inertia; tasks add up before the shuffle."""
     centroids = [m.centroids for m in models]
 
@@ -185,11 +185,11 @@ def fit(rows: DataFrame, counts: Sequence[int], starts: int = STARTS, max_iter:
         moving = [m for m in models if not m.settled]
         if not moving:
             break
-        for m, (size, v) in zip(moving, _sums(rows, moving)[0]):
+        for m, (size, v) in zip(moving, cluster_sums(rows, moving)[0]):
             new = np.where(size[:, None] > 0, v / np.maximum(size, 1)[:, None], m.centroids)
             m.settled = float(((new - m.centroids) ** 2).sum()) <= limit
             m.centroids = new
-    for m, inertia in zip(models, _sums(rows, models)[1]):
+    for m, inertia in zip(models, cluster_sums(rows, models)[1]):
         m.inertia = inertia
     return models
 

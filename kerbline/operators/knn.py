@@ -7,6 +7,7 @@ column expressions on an array of k entries and need no further shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import batched
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbline.functions.vectors import l2_normalise
+from kerbline.operators import kmeans
 from kerbline.session import MAX_BROADCAST_BYTES, cut_lineage, int_setting
 from kerbline.vocab import NON_ROAD_MAX_THRESHOLD, NON_ROAD_TARGET_PASS_RATE, VOTE_WEIGHT_FLOOR
 
@@ -24,7 +27,10 @@ SIM_DIGITS = 9
 CELL_BUDGET = 4_000_000  # similarity cells held at once inside a task
 BEST = "struct<sim: double, name: long>"
 CENTROID_SLICE = 10_000  # centroids shipped to the tasks at once
-BLOCK_ROWS = 8192  # rows per side of one block pair in the partitioned plan
+BLOCK_ROWS = 8192  # rows per side of one unit in the partitioned plan
+CENTRE_PASSES = 2  # passes that move the centres of reference cells
+# Angles and similarities within these of a bound count as reaching it, as products are rounded.
+ANGLE_SLACK, SIM_SLACK = 1e-6, 2e-9
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -67,7 +73,8 @@ def knn(
     """`query` plus `neighbours: array<struct<sim, ref, payload...>>`, best first.
 
     A reference side of checked size is shipped to the tasks once and the query
-    side is not shuffled. A larger one is compared block by block.
+    side is not shuffled. A larger one is cut into cells of similar vectors, and a
+    query only meets the cells that can hold one of its k nearest.
     """
     spark = query.sparkSession
     payload = list(payload)
@@ -79,7 +86,7 @@ def knn(
     if (size["n"] or 0) * (size["d"] or 0) * 8 + (size["rest"] or 0) <= int_setting(spark, MAX_BROADCAST_BYTES):
         found = _knn_shipped(query, ref, out.columns, k, vector, r_id, payload)
     else:
-        found = _knn_blocks(query, ref, out.columns, k, vector, r_id, payload, size["n"])
+        found = _knn_cells(query, ref, out.columns, k, vector, r_id, payload, size["n"], size["d"])
     zipped = F.arrays_zip(*[f"_n_{c}" for c in names])
     shaped = F.transform(zipped, lambda x: F.struct(*[x[f"_n_{c}"].alias(c) for c in names]))
     return found.select(*out.columns, shaped.alias("neighbours"))
@@ -118,47 +125,139 @@ def _knn_shipped(query, ref, keep, k, vector, r_id, payload) -> DataFrame:
     return query.mapInPandas(score, schema)
 
 
-def _knn_blocks(query, ref, keep, k, vector, r_id, payload, n_ref) -> DataFrame:
-    """Both sides cut into blocks of bounded size; each block pair yields only its top k.
+# --- cells of a large reference side -------------------------------------------------------------
 
-    Query rows are told apart by a number of their own, as ids may repeat; it is stored
-    with the rows, so that a rerun task meets the same one. Only it travels with
-    the vectors, the kept columns are joined at the end.
+
+@dataclass
+class Cells:
+    """Centres of the reference cells, the angle that reaches every row of a cell, and how many rows it has.
+
+    Rows without direction lie in a last cell of their own, which everything reaches.
     """
-    query = cut_lineage(query.withColumn("_row", F.monotonically_increasing_id()))
-    n_query = query.count()
-    qb, rb = -(-n_query // BLOCK_ROWS), -(-n_ref // BLOCK_ROWS)
-    q = query.select("_row", vector, F.pmod(F.xxhash64("_row"), F.lit(qb)).cast("int").alias("_qb"))
-    q = q.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
-    r = ref.select(*[F.col(c).alias(f"_r_{c}") for c in ref.columns])
-    r = r.withColumn("_rb", F.pmod(F.xxhash64(f"_r_{r_id}", f"_r_{vector}"), F.lit(rb)).cast("int"))
-    r = r.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    kept = ["_row"]
+
+    centres: np.ndarray
+    radius: np.ndarray
+    rows: np.ndarray
+
+    def reach(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Angles of unit vectors to the centres, and the largest similarity that a row of each cell can have to them."""
+        angle = np.concatenate([np.arccos(np.clip(unit @ self.centres.T, -1, 1)), np.zeros((len(unit), 1))], axis=1)
+        best = np.cos(np.clip(angle - self.radius - ANGLE_SLACK, 0, np.pi))
+        best[~unit.any(axis=1)] = 1.0
+        return angle, np.where(self.rows > 0, best, -np.inf)
+
+
+def _cells_of(ref: DataFrame, vector: str, n_ref: int, dim: int) -> tuple[DataFrame, Cells]:
+    """The reference rows with their `_cell`, and the cells: as many as blocks of BLOCK_ROWS rows."""
+    spark = ref.sparkSession
+    limit = int_setting(spark, MAX_BROADCAST_BYTES) // (8 * max(dim, 1))
+    h = F.xxhash64(vector)
+    some = F.broadcast(ref.select(h.alias("_h")).distinct().orderBy("_h").limit(max(1, min(-(-n_ref // BLOCK_ROWS), limit))))
+    picked = ref.withColumn("_h", h).join(some, "_h").select("_h", vector).dropDuplicates(["_h"]).orderBy("_h")
+    centres = _unit(picked.toPandas()[vector])  # of checked size
+    unit = ref.select(l2_normalise(F.col(vector)).cast("array<double>").alias("v"))
+    for _ in range(CENTRE_PASSES):
+        (size, total), = kmeans.cluster_sums(unit, [kmeans.Model(len(centres), 0, centres)])[0]
+        length = np.linalg.norm(total, axis=1)
+        centres = np.where((length > 0)[:, None], total / np.where(length > 0, length, 1.0)[:, None], centres)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = _unit(batch[vector])
+                near = np.clip(x @ centres.T, -1, 1)
+                cell, some = near.argmax(axis=1), x.any(axis=1)
+                yield batch.assign(_cell=np.where(some, cell, len(centres)).astype("int32"), _angle=np.where(some, np.arccos(near.max(axis=1)), np.pi))
+
+    placed = cut_lineage(ref.mapInPandas(place, T.StructType([*ref.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())])))
+    rows, radius = np.zeros(len(centres) + 1, np.int64), np.zeros(len(centres) + 1)
+    for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("a")).collect():
+        rows[r["_cell"]], radius[r["_cell"]] = r["n"], r["a"]
+    return placed.drop("_angle"), Cells(centres, radius, rows)
+
+
+def _meet(asked: DataFrame, placed: DataFrame, cells: Cells, k: int, vector: str, r_id: str, payload: list[str]) -> DataFrame:
+    """(`_row`, `_e`): of every cell in `_cells` the k best rows of at least similarity `_kth`.
+
+    A cell meets its queries in units of at most about BLOCK_ROWS rows and queries.
+    """
+    spark = asked.sparkSession
+    pairs = asked.select("_row", vector, "_kth", F.explode("_cells").alias("_cell"))
+    visits = {r["_cell"]: r["n"] for r in pairs.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    units = [(c, -(-int(cells.rows[c]) // BLOCK_ROWS), -(-n // BLOCK_ROWS)) for c, n in visits.items()]
+    sizes = F.broadcast(spark.createDataFrame(units, "_cell int, _subs int, _qbs int"))
+    left = pairs.join(sizes, "_cell").select("_row", vector, "_kth", "_cell", F.pmod(F.xxhash64("_row"), F.col("_qbs")).cast("int").alias("_qb"), F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)).alias("_sub"))
+    right = placed.join(sizes, "_cell").withColumn("_sub", F.pmod(F.xxhash64(r_id, vector), F.col("_subs")).cast("int"))
+    right = right.select(*[F.col(c).alias(f"_r_{c}") for c in placed.columns if c != "_cell"], "_cell", "_sub", F.explode(F.sequence(F.lit(0), F.col("_qbs") - 1)).alias("_qb"))
+    lists = _list_fields(placed, r_id, payload)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = [*kept, "_n_sim", "_n_ref", *[f"_n_{c}" for c in payload]]
+        cols = ["_row", *[f.name for f in lists]]
         if left.empty or right.empty:
             return pd.DataFrame(columns=cols)
         right = right.sort_values(f"_r_{r_id}")
         pos, sim = _topk(_unit(left[vector]), _unit(right[f"_r_{vector}"]), np.arange(len(right)), k)
-        res = left[kept].copy()
-        res["_n_sim"] = list(sim)
-        res["_n_ref"] = list(right[f"_r_{r_id}"].to_numpy()[pos])
-        for c in payload:
-            res[f"_n_{c}"] = list(right[f"_r_{c}"].to_numpy()[pos])
+        keep = [s >= t for s, t in zip(sim, left["_kth"].to_numpy())]
+        res = left[["_row"]].copy()
+        res["_n_sim"] = [s[m] for s, m in zip(sim, keep)]
+        for c, values in (("ref", right[f"_r_{r_id}"].to_numpy()), *[(c, right[f"_r_{c}"].to_numpy()) for c in payload]):
+            res[f"_n_{c}"] = [values[p[m]] for p, m in zip(pos, keep)]
         return res[cols]
 
-    lists = _list_fields(ref, r_id, payload)
-    schema = T.StructType([query.schema["_row"], *lists])
-    parts = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(score, schema)
+    key = ["_cell", "_sub", "_qb"]
+    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, T.StructType([asked.schema["_row"], *lists]))
     names = [f.name for f in lists]
-    # At most k entries per reference block reach this merge, and only k leave it.
-    entry = F.explode(F.arrays_zip(*names)).alias("_e")
-    flat = parts.select(*kept, entry).select(
-        *kept, F.struct((-F.col("_e._n_sim")).alias("_neg"), F.col("_e._n_ref"), *[F.col(f"_e.{n}") for n in names if n != "_n_ref"]).alias("_e")
-    )
-    merged = flat.groupBy("_row").agg(F.slice(F.sort_array(F.collect_list("_e")), 1, k).alias("_top"))
-    return query.join(merged, "_row").select(*keep, *[F.col(f"_top.{n}").alias(n) for n in names])
+    entry = parts.select("_row", F.explode(F.arrays_zip(*names)).alias("_e"))
+    return entry.select("_row", F.struct((-F.col("_e._n_sim")).alias("_neg"), F.col("_e._n_ref"), *[F.col(f"_e.{n}") for n in names if n != "_n_ref"]).alias("_e"))
+
+
+def _top(entries: DataFrame, k: int) -> DataFrame:
+    """The k best entries per query, k at most from each unit."""
+    return entries.groupBy("_row").agg(F.slice(F.sort_array(F.collect_list("_e")), 1, k).alias("_top"))
+
+
+def _knn_cells(query, ref, keep, k, vector, r_id, payload, n_ref, dim, count_cells: str | None = None) -> DataFrame:
+    """Exact neighbours from the reference cells that can hold them.
+
+    A query first meets the nearest cells that hold k rows. Its k-th similarity there
+    bounds the rest: by the triangle inequality on angles, no row of a cell is nearer
+    than the angle to its centre less its radius, so cells beyond the bound are skipped.
+    Query rows are told apart by a number of their own, as ids may repeat; it is stored
+    with the rows, so that a rerun task meets the same one. With `count_cells` the
+    number of cells that a query met is added under that name.
+    """
+    query = cut_lineage(query.withColumn("_row", F.monotonically_increasing_id()))
+    placed, cells = _cells_of(ref, vector, n_ref, dim)
+    fields = [query.schema["_row"], query.schema[vector]]
+    schema = T.StructType([*fields, T.StructField("_kth", T.DoubleType()), T.StructField("_home", T.ArrayType(T.IntegerType())), T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                angle, best = cells.reach(_unit(batch[vector]))
+                order = np.argsort(np.where(np.isfinite(best), angle, np.inf), axis=1, kind="stable")
+                held = np.cumsum(cells.rows[order], axis=1)
+                count = (held < k).sum(axis=1) + 1
+                home = [o[:n][cells.rows[o[:n]] > 0] for o, n in zip(order, count)]
+                yield batch.assign(_kth=-2.0, _home=home, _cells=home)
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                _, best = cells.reach(_unit(batch[vector]))
+                found = [np.setdiff1d(np.flatnonzero(b >= t - SIM_SLACK), h) for b, t, h in zip(best, batch["_kth"].to_numpy(), batch["_home"])]
+                yield batch.assign(_cells=[f.astype("int32") for f in found])
+
+    asked = cut_lineage(query.select("_row", vector).mapInPandas(near, schema))
+    first = cut_lineage(_top(_meet(asked, placed, cells, k, vector, r_id, payload), k))
+    kth = F.when(F.size("_top") >= k, -F.get("_top", F.lit(k - 1))["_neg"]).otherwise(-2.0)
+    asked = cut_lineage(asked.drop("_kth").join(first.select("_row", kth.alias("_kth")), "_row").select(*[f.name for f in schema]).mapInPandas(rest, schema))
+    second = _meet(asked, placed, cells, k, vector, r_id, payload)
+    merged = _top(first.select("_row", F.explode("_top").alias("_e")).unionByName(second), k)
+    if count_cells:
+        merged = merged.join(asked.select("_row", (F.size("_home") + F.size("_cells")).alias(count_cells)), "_row")
+    names = [f.name for f in _list_fields(ref, r_id, payload)]
+    return query.join(merged, "_row").select(*keep, *[F.col(f"_top.{n}").alias(n) for n in names], *([count_cells] if count_cells else []))
 
 
 def ranked(neighbours: DataFrame, keys: Sequence[str]) -> DataFrame:
