@@ -7,12 +7,15 @@ any engine; the per-stratum counts follow the published rules exactly.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline import vocab
 from kerbline.operators.ordered import KeyProfile, group_count, row_number
+from kerbline.session import cut_lineage
 
 
 def group_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -138,13 +141,26 @@ def holdout_split(df: DataFrame, strata: Sequence[str] = ("surface_type", "quali
 
 
 def select_for_embedding(df: DataFrame, none_cap: int, strata: Sequence[str] = ("source_dataset", "domain", "split"), id_column: str = "image_path") -> DataFrame:
-    """All rows with a defect label plus a proportional sample of the pure-`none` rows."""
+    """All rows with a defect label plus a proportional sample of the pure-`none` rows.
+
+    Quotas share `none_cap` out over the strata by largest remainder. Rows without a value
+    in one of the strata have no quota; where quotas leave the sample short, it is filled
+    up from all `none` rows not taken yet, in hash order.
+    """
     positive = F.arrays_overlap("labels", F.array(*map(F.lit, vocab.DEFECT_LABELS)))
     pure_none = F.coalesce((F.size(F.array_distinct("labels")) == 1) & F.array_contains("labels", "none"), F.lit(False))
     hits = df.where(positive).withColumn("selected_reason", F.lit("defect_positive"))
-    none = _take_quota(df.where(pure_none), strata, F.least(F.lit(none_cap), F.col("_total")), id_column)
-    none = none.where("_chosen").drop("_chosen").withColumn("selected_reason", F.lit("pure_none_subset"))
-    return hits.unionByName(none)
+    known = reduce(and_, [F.col(c).isNotNull() for c in strata])
+    pool = df.where(pure_none)
+    taken = cut_lineage(_take_quota(pool.where(known), strata, F.lit(none_cap), id_column))
+    rest = taken.where("NOT _chosen").drop("_chosen").unionByName(pool.where(~known))
+    none = taken.where("_chosen").drop("_chosen")
+    short = none_cap - none.count()
+    if short > 0:
+        spare = _hash_order(rest, id_column)
+        spare = KeyProfile.of(spare).layout(spare, ["_h", id_column]).scan(spare, _rn=row_number())
+        none = none.unionByName(spare.where(F.col("_rn") <= short).select(*none.columns))
+    return hits.unionByName(none.select(*df.columns).withColumn("selected_reason", F.lit("pure_none_subset")))
 
 
 def cap_per_class(df: DataFrame, label: str, max_rows: int, id_column: str = "image_path") -> DataFrame:

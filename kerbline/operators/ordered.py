@@ -378,9 +378,29 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*picks)
 
 
-def page(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset+limit of the ordered table.
+def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """Rows offset .. offset+limit of the table in ascending order.
 
-    One task gathers offset + limit rows, so this is for pages near the front.
+    A table beyond one task's share is cut into chunks of its order whose rows are
+    counted; chunks in front of the page are skipped whole, and only those that hold the
+    page are cut again, until they fit one task. Rows alike in `order` stay together.
     """
-    return df.orderBy(*order).offset(offset).limit(limit)
+    order, skip = list(order), offset
+    while limit > 0:
+        profile = KeyProfile.of(df)
+        if not profile.hot:
+            break
+        chunked = profile.layout(df, order).chunk(df)
+        counts = sorted((r["_chunk"], r["n"]) for r in chunked.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n")).collect())
+        held, before = [], 0
+        for chunk, n in counts:
+            if before < skip + limit and before + n > skip:
+                held.append((chunk, before))
+            before += n
+        if len(held) == len(counts):
+            break
+        if not held:
+            return df.limit(0)
+        df = chunked.where(F.col("_chunk").between(held[0][0], held[-1][0])).drop("_chunk")
+        skip -= held[0][1]
+    return df.orderBy(*order).offset(skip).limit(limit)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.operators.manifests import keep_first
-from kerbline.operators.ordered import page
+from kerbline.operators.ordered import KeyProfile, page, row_number
 from kerbline.operators.tracks import evenly_spaced
+from kerbline.session import cut_lineage
 
 # --- fixed values: table order for id resolution ---
 MODES = ["labeled", "unlabeled", "defect", "survey"]
@@ -89,8 +90,11 @@ def label_filter(images: DataFrame, corrections: DataFrame, key: str, value: str
 
 
 def filtered_page(images: DataFrame, where: Column, order: Sequence[str], page_no: int, per_page: int) -> DataFrame:
-    """The page clamped to the existing ones, each row with total, page and pages."""
-    hits = images.where(where)
+    """The page clamped to the existing ones, each row with total, page and pages.
+
+    The filter runs once: its hits are stored, counted and cut up for the page.
+    """
+    hits = cut_lineage(images.where(where))
     total = hits.count()
     pages = max(1, -(-total // per_page))
     current = min(max(1, page_no), pages)
@@ -182,6 +186,19 @@ def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return table.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def session_list(log: DataFrame, key: str = "session_id", started: str = "started_ms", version: str = "version", deleted: str = "deleted") -> DataFrame:
+    """The sessions left after all saves and deletes, newest first, with their 1-based `position`.
+
+    `log` holds one row per save or delete; of a key the row with the highest version
+    counts, whatever order they arrive in. Sessions that started together are listed
+    latest save first, then by key. The list is numbered in chunks when it is long.
+    """
+    last = log.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), version).alias("_r")).select(key, "_r.*")
+    alive = last.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted)
+    rows = alive.withColumn("_newest", -F.col(started)).withColumn("_latest", -F.col(version))
+    return KeyProfile.of(rows).layout(rows, ["_newest", "_latest", key]).scan(rows, position=row_number()).drop("_newest", "_latest")
+
+
 def box_statistics(index: DataFrame) -> DataFrame:
     """Boxes per class; a missing class counts as `unknown`."""
     boxes = index.select(F.explode("bboxes").alias("b"))

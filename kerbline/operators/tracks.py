@@ -195,21 +195,23 @@ def _lerp_nullable(a: Column, b: Column, share: Column) -> Column:
     return F.coalesce(a + (b - a) * share, a, b)
 
 
-def attach_gps(frames: DataFrame, gps: DataFrame, values: Sequence[str] = ("alt_m", "speed_mps", "heading_deg")) -> DataFrame:
+def attach_gps(frames: DataFrame, gps: DataFrame, values: Sequence[str] = ("alt_m", "speed_mps", "heading_deg"), tie: str | None = None) -> DataFrame:
     """Each frame (session_id, frame_index, utc_ms) with its bracketing fixes blended.
 
     A value missing on one side takes the other side; headings blend without
     unwrapping; at and beyond the last fix, and up to the first, that fix is taken whole.
+    Fixes of one moment follow each other in the order of `tie`, a number of the fix.
     """
     whole = ["lat", "lon", *values]
     fix = F.struct("utc_ms", *whole)
-    left = frames.select(SESSION, "frame_index", F.col("utc_ms"), F.lit(0).alias("_kind"))
+    left = frames.select(SESSION, "frame_index", F.col("utc_ms"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_tie"))
+    tied = (F.col(tie) if tie else F.lit(None)).cast("bigint").alias("_tie")
     nulls = [F.lit(None).cast("double").alias(c) for c in whole]
-    right = gps.select(SESSION, F.lit(None).cast("bigint").alias("frame_index"), "utc_ms", F.lit(1).alias("_kind"),
+    right = gps.select(SESSION, F.lit(None).cast("bigint").alias("frame_index"), "utc_ms", F.lit(1).alias("_kind"), tied,
                        *[F.col(c).cast("double").alias(c) for c in whole])
     both = left.select("*", *nulls).unionByName(right)
     is_fix = F.col("_kind") == 1
-    layout = KeyProfile.of(both, [SESSION]).layout(both, ["utc_ms", "_kind"])
+    layout = KeyProfile.of(both, [SESSION]).layout(both, ["utc_ms", "_kind", "_tie"])
     s = layout.scan(
         both, _a=last_valid(F.when(is_fix, fix)), _b=next_valid(F.when(is_fix, fix)),
         _last=group_max(F.when(is_fix, F.col("utc_ms"))),
@@ -388,6 +390,39 @@ def no_fix_timeline(sessions: DataFrame, duration: str = "duration_s") -> DataFr
     )
 
 
+# --- fixed values: families of position sources, in the order they are tried ---
+SOURCE_FAMILIES = {"sidecar": ["sidecar", "track_json", "gpx"], "embedded": ["embedded"], "imu": ["imu"]}
+# --- end of fixed values ---
+
+
+def choose_source(candidates: DataFrame, explicit: DataFrame, keys: Sequence[str], hint: str = "auto") -> DataFrame:
+    """The position source of each recording under a hint: `source_type`, `rows`, `problem`.
+
+    `candidates`: keys, source_type, rows. Without a hint the families sidecar, embedded
+    and imu are tried in turn; a hint leaves only its own family, `none` leaves nothing.
+    `explicit` (keys, source_type, rows; at most one row per recording) names a file that
+    replaces the search: it is used under `auto`, under `sidecar`, and always when it is a
+    sidecar itself or of the hinted family; otherwise, and where a hinted family is
+    missing, `problem` says so and the source is `none`.
+    """
+    if hint not in ("auto", "none", *SOURCE_FAMILIES):
+        raise ValueError(f"unknown source hint {hint}")
+    family = {x: f for f, names in SOURCE_FAMILIES.items() for x in names}
+    order = [x for f, names in SOURCE_FAMILIES.items() if hint in ("auto", f) for x in names]
+    everyone = candidates.select(*keys).unionByName(explicit.select(*keys)).distinct()
+    if hint == "none":
+        return everyone.select(*keys, F.lit("none").alias("source_type"), F.lit(0).cast("bigint").alias("rows"), F.lit(None).cast("string").alias("problem"))
+    found = prefer_source(candidates, keys, order).select(*keys, F.col("source_type").alias("_type"), F.col("rows").alias("_rows"))
+    named = explicit.select(*keys, F.col("source_type").alias("_own"), F.col("rows").alias("_own_rows"))
+    j = everyone.join(found, list(keys), "left").join(named, list(keys), "left")
+    fits = F.lit(hint in ("auto", "sidecar")) | F.col("_own").isin([x for x, f in family.items() if f in ("sidecar", hint)])
+    own, missing = F.col("_own").isNotNull(), F.coalesce("_type", F.lit("none")) == "none"
+    problem = F.when(own & ~fits, F.lit(f"explicit source does not fit {hint}")).when(~own & missing & F.lit(hint != "auto"), F.lit(f"no usable {hint} source"))
+    kind = F.when(own, F.when(fits, F.col("_own"))).otherwise(F.col("_type"))
+    rows = F.when(own, F.when(fits, F.col("_own_rows"))).otherwise(F.col("_rows"))
+    return j.select(*keys, F.coalesce(kind, F.lit("none")).alias("source_type"), F.coalesce(rows, F.lit(0)).cast("bigint").alias("rows"), problem.alias("problem"))
+
+
 def prefer_source(candidates: DataFrame, keys: Sequence[str], priorities: Sequence[str], hint: str | None = None) -> DataFrame:
     """Best candidate source with at least one row per recording, `none` without any.
 

@@ -417,6 +417,23 @@ def t6(spark, sf_dir):
     return M.select_for_embedding(raw_sets(spark, sf_dir), 60).select("image_path", "selected_reason")
 
 
+@query("T6_capped_negatives", f"""WITH {SQL_SETS}, none AS (SELECT * FROM sets WHERE labels = 'none'), {sql_quota('none', 'source_dataset, domain, split', 'least(10, total)', 'n')}
+    SELECT image_path, 'pure_none_subset' AS selected_reason FROM n_chosen WHERE chosen UNION ALL SELECT image_path, 'defect_positive' FROM sets WHERE labels <> 'none'""", ("v_manifest",))
+def t6_capped(spark, sf_dir):
+    return M.select_for_embedding(raw_sets(spark, sf_dir), 10).select("image_path", "selected_reason")
+
+
+@query("T6_cap_and_top_up", f"""WITH {SQL_SETS}, gaps AS (SELECT * REPLACE (CASE WHEN row_id % 4 = 0 THEN domain END AS domain) FROM sets WHERE labels = 'none'), none AS (SELECT * FROM gaps WHERE domain IS NOT NULL),
+    {sql_quota('none', 'source_dataset, domain, split', '20', 'n')},
+    spare AS (SELECT image_path, row_number() OVER (ORDER BY md5(image_path), image_path) AS k FROM gaps WHERE image_path NOT IN (SELECT image_path FROM n_chosen WHERE chosen))
+    SELECT image_path, 'pure_none_subset' AS selected_reason FROM n_chosen WHERE chosen UNION ALL SELECT image_path, 'pure_none_subset' FROM spare WHERE k <= 20 - (SELECT count(*) FROM n_chosen WHERE chosen)
+    UNION ALL SELECT image_path, 'defect_positive' FROM sets WHERE labels <> 'none'""", ("v_manifest",))
+def t6_top_up(spark, sf_dir):
+    """Most rows have no domain, so their strata cannot fill the cap; the rest comes from all that is left."""
+    sets = raw_sets(spark, sf_dir).withColumn("domain", F.when(F.col("row_id") % 4 == 0, F.col("domain")))
+    return M.select_for_embedding(sets, 20).select("image_path", "selected_reason")
+
+
 @query("T7_class_cap", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY has_crack ORDER BY md5(image_path), image_path) AS k FROM v_manifest) SELECT image_path, has_crack FROM r WHERE k <= 75""", ("v_manifest",))
 def t7(spark, sf_dir):
     return M.cap_per_class(manifest(spark, sf_dir), "has_crack", 150).select("image_path", "has_crack")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +189,18 @@ def u7(spark, sf_dir):
     return O.upsert(old, s.where("session_id % 3 = 0").withColumn("version", F.lit("new")), "session_id")
 
 
+@query("U7_session_list", """
+    WITH log AS (SELECT user_id AS session_id, event_id AS version, ts, event_type FROM events),
+    last AS (SELECT session_id, max(version) AS version, arg_max(event_type, version) AS event_type, arg_max(epoch_ms(ts) // 60000000, version) AS started_ms FROM log GROUP BY 1)
+    SELECT session_id, version, CAST(started_ms AS BIGINT) AS started_ms, row_number() OVER (ORDER BY started_ms DESC, version DESC, session_id) AS position FROM last WHERE event_type <> 'error'""")
+def u7_list(spark, sf_dir):
+    """Each event is a save of its session, or a delete when it is an error; the list after all of them."""
+    e = views.table(spark, sf_dir, "events")
+    started = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60_000_000).cast("bigint")
+    log = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("version"), started.alias("started_ms"), (F.col("event_type") == "error").alias("deleted"))
+    return O.session_list(log).select("session_id", "version", "started_ms", "position")
+
+
 # --- annotations ----------------------------------------------------------------------------------------
 
 def box_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,9 +283,36 @@ def a27(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY list_position(['sidecar','track_json','gpx','embedded','imu'], source_type)) AS o FROM s WHERE rows > 0)
     SELECT DISTINCT c.recording, coalesce(r.source_type, 'none') AS source_type, CAST(coalesce(r.rows, 0) AS BIGINT) AS rows FROM c LEFT JOIN r ON r.recording = c.recording AND o = 1""")
 def j10(spark, sf_dir):
+    return T.prefer_source(source_candidates(spark, sf_dir), ["recording"], ["sidecar", "track_json", "gpx", "embedded", "imu"])
+
+
+def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = views.table(spark, sf_dir, "events")
     c = ev.groupBy(F.col("user_id").alias("recording"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("event_type") == "error", "imu").when(F.col("event_type") == "click", "gpx").when(F.col("event_type") == "view", "embedded").otherwise("track_json")
     n = F.when((F.col("recording") + F.length("event_type")) % 3 == 0, 0).otherwise(F.col("n"))
-    cand = c.groupBy("recording", kind.alias("source_type")).agg(F.sum(n).alias("rows"))
-    return T.prefer_source(cand, ["recording"], ["sidecar", "track_json", "gpx", "embedded", "imu"])
+    return c.groupBy("recording", kind.alias("source_type")).agg(F.sum(n).alias("rows"))
+
+
+HINTS = ["auto", "none", "sidecar", "embedded", "imu"]
+
+
+@query("J10_source_hints", """
+    WITH c AS (SELECT user_id AS recording, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+    s AS (SELECT recording, CASE event_type WHEN 'error' THEN 'imu' WHEN 'click' THEN 'gpx' WHEN 'view' THEN 'embedded' ELSE 'track_json' END AS source_type, sum(CASE WHEN (recording + length(event_type)) % 3 = 0 THEN 0 ELSE n END) AS rows FROM c GROUP BY ALL),
+    e AS (SELECT recording, CASE WHEN recording % 3 = 0 THEN 'gpx' WHEN recording % 3 = 1 THEN 'embedded' ELSE 'imu' END AS own, sum(n) AS own_rows FROM c WHERE recording % 4 = 0 GROUP BY 1, 2),
+    h AS (SELECT unnest(['auto', 'none', 'sidecar', 'embedded', 'imu']) AS hint),
+    f AS (SELECT *, CASE source_type WHEN 'track_json' THEN 'sidecar' WHEN 'gpx' THEN 'sidecar' ELSE source_type END AS family, list_position(['track_json', 'gpx', 'embedded', 'imu'], source_type) AS o FROM s WHERE rows > 0),
+    b AS (SELECT hint, recording, arg_min(source_type, o) AS source_type, arg_min(rows, o) AS rows FROM f, h WHERE hint IN ('auto', family) GROUP BY 1, 2),
+    j AS (SELECT hint, recording, own, own_rows, b.source_type, b.rows, own IS NULL OR hint IN ('auto', 'sidecar') OR own = 'gpx' OR own = hint AS fits
+      FROM (SELECT DISTINCT recording FROM c) CROSS JOIN h LEFT JOIN e USING (recording) LEFT JOIN b USING (hint, recording))
+    SELECT hint, recording, CASE WHEN hint = 'none' OR NOT fits THEN 'none' ELSE coalesce(own, source_type, 'none') END AS source_type,
+      CAST(CASE WHEN hint = 'none' OR NOT fits THEN 0 WHEN own IS NOT NULL THEN own_rows ELSE coalesce(rows, 0) END AS BIGINT) AS rows,
+      CASE WHEN hint = 'none' THEN NULL WHEN NOT fits THEN 'explicit source does not fit ' || hint WHEN own IS NULL AND source_type IS NULL AND hint <> 'auto' THEN 'no usable ' || hint || ' source' END AS problem FROM j""")
+def j10_hints(spark, sf_dir):
+    """Every hint over all recordings; a quarter of them come with a file named by hand."""
+    candidates, i = source_candidates(spark, sf_dir), F.col("user_id")
+    own = F.when(i % 3 == 0, "gpx").when(i % 3 == 1, "embedded").otherwise("imu")
+    named = views.table(spark, sf_dir, "events").where(i % 4 == 0).groupBy(i.alias("recording"), own.alias("source_type")).agg(F.count(F.lit(1)).alias("rows"))
+    parts = [T.choose_source(candidates, named, ["recording"], hint).select(F.lit(hint).alias("hint"), "recording", "source_type", "rows", "problem") for hint in HINTS]
+    return reduce(DataFrame.unionByName, parts)

@@ -14,7 +14,9 @@ from kerbline.operators import tracks as T
 from kerbline.operators.ordered import KeyProfile
 from kerbline.plans import views
 from kerbline.plans.registry import query
+from kerbline.session import work_path
 from kerbline.sinks import exports as X
+from kerbline.sources import tracks as SRC
 
 R_TRACK, R_STRIP = vocab.EARTH_RADIUS_TRACK_M, vocab.EARTH_RADIUS_STRIP_M
 
@@ -120,14 +122,14 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sample times per session and event: at a third and at a fixed offset, some outside the track."""
+    """A sample per track row on a shifted clock, some outside the track."""
     t = timed(spark, sf_dir)
-    return t.where("point_id % 3 = 0").select("session_id", F.col("point_id").alias("sample_id"), (F.col("t") + (F.col("point_id") % 7) / 3.0 - 1.0).alias("t"))
+    return t.select("session_id", F.col("point_id").alias("sample_id"), (F.col("t") + (F.col("point_id") % 7) / 3.0 - 1.0).alias("t"))
 
 
 SQL_TIMED = """
   timed AS (SELECT *, (utc_ms % 100000000) / 1000.0::DOUBLE AS t FROM v_track),
-  samples AS (SELECT session_id, point_id AS sample_id, t + (point_id % 7) / 3.0::DOUBLE - 1.0 AS t FROM timed WHERE point_id % 3 = 0)
+  samples AS (SELECT session_id, point_id AS sample_id, t + (point_id % 7) / 3.0::DOUBLE - 1.0 AS t FROM timed)
 """
 
 
@@ -173,12 +175,12 @@ def j4(spark, sf_dir):
 
 
 @query("J5_frame_gps_blend", """
-    WITH g AS (SELECT session_id, utc_ms, lat, lon, alt_m, heading_deg FROM v_track WHERE lat IS NOT NULL AND point_id % 2 = 0),
-    f AS (SELECT session_id, point_id AS frame_index, utc_ms + point_id % 900 - 450 AS utc_ms FROM v_track WHERE point_id % 5 = 0),
-    u AS (SELECT session_id, utc_ms, 0 AS kind, frame_index, NULL AS fix FROM f
-          UNION ALL SELECT session_id, utc_ms, 1, NULL, {'ms': utc_ms, 'lat': lat, 'lon': lon, 'alt_m': alt_m, 'heading_deg': heading_deg} FROM g),
-    w AS (SELECT *, last_value(fix IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY utc_ms, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
-        first_value(fix IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY utc_ms, kind ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b,
+    WITH g AS (SELECT session_id, utc_ms, point_id, lat, lon, alt_m, heading_deg FROM v_track WHERE lat IS NOT NULL),
+    f AS (SELECT session_id, point_id AS frame_index, utc_ms + point_id % 900 - 450 AS utc_ms FROM v_track),
+    u AS (SELECT session_id, utc_ms, 0 AS kind, NULL AS tie, frame_index, NULL AS fix FROM f
+          UNION ALL SELECT session_id, utc_ms, 1, point_id, NULL, {'ms': utc_ms, 'lat': lat, 'lon': lon, 'alt_m': alt_m, 'heading_deg': heading_deg} FROM g),
+    w AS (SELECT *, last_value(fix IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY utc_ms, kind, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+        first_value(fix IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY utc_ms, kind, tie ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b,
         max(fix.ms) OVER (PARTITION BY session_id) AS last_ms FROM u),
     s AS (SELECT *, least(1, greatest(0, (utc_ms - a.ms) / greatest(1, b.ms - a.ms)::DOUBLE)) AS share,
         a IS NULL OR (a IS NOT NULL AND b IS NOT NULL AND utc_ms >= last_ms) AS take_b, b IS NULL AS take_a FROM w WHERE kind = 0)
@@ -187,9 +189,9 @@ def j4(spark, sf_dir):
       round(CASE WHEN take_b THEN b.heading_deg WHEN take_a THEN a.heading_deg ELSE coalesce(a.heading_deg + (b.heading_deg - a.heading_deg) * share, a.heading_deg, b.heading_deg) END, 5) AS heading_deg FROM s""", ("v_track",))
 def j5(spark, sf_dir):
     v = views.v_track(spark, sf_dir)
-    gps = v.where("lat IS NOT NULL AND point_id % 2 = 0")
-    fr = v.where("point_id % 5 = 0").select("session_id", F.col("point_id").alias("frame_index"), (F.col("utc_ms") + F.col("point_id") % 900 - 450).alias("utc_ms"))
-    out = T.attach_gps(fr, gps, ["alt_m", "heading_deg"])
+    gps = v.where("lat IS NOT NULL")
+    fr = v.select("session_id", F.col("point_id").alias("frame_index"), (F.col("utc_ms") + F.col("point_id") % 900 - 450).alias("utc_ms"))
+    out = T.attach_gps(fr, gps, ["alt_m", "heading_deg"], tie="point_id")
     return out.select("session_id", "frame_index", F.round("lat", 6).alias("lat"), F.round("alt_m", 5).alias("alt_m"), F.round("heading_deg", 5).alias("heading_deg"))
 
 
@@ -274,8 +276,8 @@ def w9(spark, sf_dir):
 
 
 def marked_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem rows: part point at an existing frame, the rest only at a time."""
-    t = timed(spark, sf_dir).where("point_id % 6 = 1")
+    """A problem per track row: part point at an existing frame, the rest only at a time."""
+    t = timed(spark, sf_dir)
     i = F.col("point_id")
     return t.select("session_id", i.alias("problem_id"), F.when(i % 4 == 1, i - 1).otherwise(-i - 1).alias("frame_index"),
                     (F.col("t") + (i % 5) / 4.0).alias("t"), F.when(i % 3 != 0, (i % 5 + 1).cast("int")).alias("quality_grade"),
@@ -283,16 +285,15 @@ def marked_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = timed(spark, sf_dir).where("point_id % 2 = 0")
-    s = T.pair_measures(s, ORDER)
+    s = T.pair_measures(timed(spark, sf_dir), ORDER)
     return s.withColumn("frame_index", F.col("point_id")).withColumn("quality_grade", (F.col("point_id") % 5 + 1).cast("int")).withColumn("issues", F.lit(""))
 
 
 SQL_PROBLEMS = """
-  os AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, point_id) - 1 AS sample_order FROM timed WHERE point_id % 2 = 0),
+  os AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, point_id) - 1 AS sample_order FROM timed),
   pr AS (SELECT session_id, point_id AS problem_id, CASE WHEN point_id % 4 = 1 THEN point_id - 1 ELSE -point_id - 1 END AS frame_index,
       t + (point_id % 5) / 4.0::DOUBLE AS t, CASE WHEN point_id % 3 <> 0 THEN CAST(point_id % 5 + 1 AS INTEGER) END AS quality_grade, 'issue_' || (point_id % 4) AS issues
-    FROM timed WHERE point_id % 6 = 1),
+    FROM timed),
   ex AS (SELECT pr.*, os.sample_order AS exact FROM pr LEFT JOIN os ON os.session_id = pr.session_id AND os.point_id = pr.frame_index),
   un AS (SELECT session_id, t, 0 AS kind, problem_id AS id, NULL AS spot FROM ex WHERE exact IS NULL
          UNION ALL SELECT session_id, t, 1, sample_order, {'t': t, 'o': sample_order} FROM os),
@@ -359,11 +360,11 @@ def p15(spark, sf_dir):
                                                F.round(G.enu_to_lon(F.lit(48.0), F.lit(17.0), i % 7000), 7).alias("lon"))
 
 
-@query("P16_time_labels", """SELECT point_id, printf('%02d:%05.2f', utc_ms % 5000000 // 60000, (utc_ms % 5000000 % 60000) / 1000.0) AS label,
-    'problem_' || printf('%06d', point_id) || '_t' || printf('%010.3f', (utc_ms % 5000000) / 1000.0) AS stem FROM v_track WHERE utc_ms % 10 = 0""", ("v_track",))
+@query("P16_time_labels", """SELECT point_id, printf('%02d:%05.2f', utc_ms % 5000000 // 60000, (utc_ms % 5000000) / 1000.0::DOUBLE - (utc_ms % 5000000 // 60000) * 60) AS label,
+    'problem_' || printf('%06d', point_id) || '_t' || printf('%010.3f', (utc_ms % 5000000) / 1000.0::DOUBLE) AS stem FROM v_track""", ("v_track",))
 def p16(spark, sf_dir):
-    # Whole hundredths only, so that neither engine has to break a rounding tie.
-    v = views.v_track(spark, sf_dir).where("utc_ms % 10 = 0")
+    """Every row; both engines round the binary value, halves to even."""
+    v = views.v_track(spark, sf_dir)
     t = (F.col("utc_ms") % 5_000_000) / 1000.0
     return v.select("point_id", C.minute_label(t).alias("label"), C.problem_stem(F.col("point_id"), t).alias("stem"))
 
@@ -589,3 +590,18 @@ def a26_gyro(spark, sf_dir):
 def k1(spark, sf_dir):
     v = views.v_track(spark, sf_dir).withColumn("t", F.col("utc_ms"))
     return X.route_coordinate_lines(v, ["t", "point_id"]).select("session_id", "position", "text")
+
+
+@query("K1_feature_collection", """
+    WITH p AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM v_track WHERE lat IS NOT NULL AND lon IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY utc_ms, point_id)),
+    r AS (SELECT session_id, 0 AS feature, i AS position, lat, lon FROM p WHERE n >= 2),
+    q AS (SELECT v.session_id, coalesce(k.drawn, 0) + row_number() OVER (PARTITION BY v.session_id ORDER BY v.utc_ms, v.point_id) - 1 AS feature, v.lat, v.lon
+      FROM v_track v LEFT JOIN (SELECT DISTINCT session_id, 1 AS drawn FROM r) k USING (session_id))
+    SELECT session_id, feature, position, lat, lon FROM r UNION ALL SELECT session_id, feature, 0, lat, lon FROM q WHERE lat IS NOT NULL AND lon IS NOT NULL""", ("v_track",))
+def k1_collection(spark, sf_dir):
+    """Every fix as route point and as problem point, one collection per session, written by many tasks and parsed back."""
+    v = views.v_track(spark, sf_dir).withColumn("t", F.col("utc_ms")).withColumn("frame_index", F.col("point_id"))
+    track = v.select("session_id", "t", "point_id", "lat", "lon", F.lit(False).alias("route_approximate"), F.lit("").alias("notice"), F.lit("gpx").alias("telemetry_source"))
+    path = work_path(spark, "geojson")
+    X.write_lines(X.geojson_lines(track, v, ["t", "point_id"], ["frame_index"]), path, "session_id", ["section", "position"])
+    return SRC.parse_geojson(SRC.read_parts(spark, path, "session_id")).select("session_id", "feature", "position", "lat", "lon")
