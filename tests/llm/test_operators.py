@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from kerbline.llm import disclosure, encoding, exact, packing, passages, queries, resampling, search, similar, suffixes, tokens, windows, wrappers
+from kerbline.llm import components, disclosure, encoding, exact, packing, passages, queries, resampling, search, similar, suffixes, tokens, windows, wrappers
 from kerbline.llm import text as tx
 from kerbline.llm.tokens import Encoder
 
@@ -383,12 +384,51 @@ def test_pages(spark):
 
 
 def test_tree_matching_keeps_order():
-    tree = lambda tag, *kids: [tag, 0, 0, 0, list(kids)]
-    a, b = tree("div", tree("p"), tree("ul", tree("li")), tree("p")), tree("div", tree("p"), tree("p"), tree("table"))
-    wrappers._shape(a), wrappers._shape(b)
+    tree = lambda html: wrappers.grown(wrappers.skeleton(wrappers.parse(html)))[4][0]
+    a, b = tree("<div><p></p><ul><li></li></ul><p></p></div>"), tree("<div><p></p><p></p><table></table></div>")
     assert wrappers.match_trees(a, b)[0] == 3
 
 
+def plain_match(a, b):
+    """The textbook recurrence without any shortcut."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[4]) + 1) for _ in range(len(a[4]) + 1)]
+    for i, x in enumerate(a[4]):
+        for j, y in enumerate(b[4]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_match(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_tree_matching_against_the_plain_recurrence():
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1)}</{t}>" for t in RNG.choice(["div", "span", "section"], RNG.integers(0, 4))) if depth else "x"
+
+    for _ in range(40):
+        a, b = (wrappers.grown(wrappers.skeleton(wrappers.parse(page(4)))) for _ in range(2))
+        size, pairs = wrappers.match_trees(a, b)
+        assert size == plain_match(a, b) == len(pairs) and all(x[0] == y[0] for x, y in pairs)
+
+
+def test_pages_of_5000_levels(spark):
+    deep = lambda i: "<html><body>" + "<div>" * 5000 + f"<p>words of page {i}" + "</div>" * 5000 + "</body></html>"
+    rows = [(i, f"http://deep.example/{i}", deep(i)) for i in range(3)] + [(7, "http://deep.example/7", "<html><body><div><p>short</div></body></html>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"]) for r in wrappers.extract_main_text(df).collect()) == [(i, f"words of page {i}") for i in range(3)] + [(7, "short")]
+
+
+def test_components_of_large_row_numbers(spark):
+    """The sum of the row numbers of these links is beyond 64 bits; each chain of four is one component."""
+    n = 500_000
+    at = lambda c: (F.col("id") * 4 + c + (1 << 62)).alias("x")
+    links = None
+    for i in range(3):
+        part = spark.range(n).select(at(i).alias("a"), at(i + 1).alias("b"))
+        links = part if links is None else links.unionAll(part)
+    out = components.components(links, "a", "b")
+    assert out.count() == 4 * n and out.filter(F.col("root") != F.col("node") - F.pmod(F.col("node"), F.lit(4))).isEmpty()
+
+
 def test_packed_numbers():
     values = np.unique(RNG.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     assert (tx.unpack(tx.pack(values)) == values).all() and not len(tx.unpack(tx.pack(values[:0])))
