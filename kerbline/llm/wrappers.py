@@ -116,22 +116,53 @@ def main_blocks(node: Node) -> list[str]:
     return out
 
 
-def skeleton(node: Node) -> list:
-    """[tag, apart, text hash, text length, children] of a tree."""
-    own = " ".join("".join(x for x in node.items if isinstance(x, str)).split())
-    kids = [] if node.apart else [skeleton(c) for c in node.children()]
-    return [node.tag, int(node.apart), xxhash.xxh3_64_intdigest(own.encode()) >> 1 if own else 0, len(own), kids]
+def unrolled(call):
+    """The value of a recursive generator, which yields the calls it makes; a page of any depth fits the stack."""
+    stack, value = [call], None
+    while stack:
+        try:
+            deeper = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(deeper)
+            value = None
+    return value
+
+
+def skeleton(root: Node) -> list:
+    """[tag, apart, text hash, text length, number of children] of each node of a tree, parents first."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        own = " ".join("".join(x for x in node.items if isinstance(x, str)).split())
+        kids = [] if node.apart else node.children()
+        out.append([node.tag, int(node.apart), xxhash.xxh3_64_intdigest(own.encode()) >> 1 if own else 0, len(own), len(kids)])
+        stack.extend(reversed(kids))
+    return out
 
 
-def _shape(tree: list) -> int:
-    """Hash of the tags of a tree, kept as a sixth entry; its size as a seventh."""
-    below = [_shape(c) for c in tree[4]]
-    tree += [hash((tree[0], *below)), 1 + sum(c[6] for c in tree[4])]
-    return tree[5]
+def grown(flat: list) -> list:
+    """The tree of a skeleton: [tag, apart, text hash, text length, children, hash of the tags below]."""
+    nodes = [[*entry[:4], [None] * entry[4], 0] for entry in flat]
+    waiting: list[tuple[list, int]] = []
+    for node in nodes:
+        if waiting:
+            parent, at = waiting.pop()
+            parent[4][at] = node
+        waiting.extend((node, i) for i in reversed(range(len(node[4]))))
+    for node in reversed(nodes):
+        node[5] = hash((node[0], *(c[5] for c in node[4])))
+    return nodes[0]
 
 
 def match_trees(a: list, b: list) -> tuple[int, list]:
     """Simple tree matching: size of the largest match that keeps order and ancestors, and its node pairs."""
+    return unrolled(_match(a, b))
+
+
+def _match(a: list, b: list):
     if a[0] != b[0]:
         return 0, []
     xs, ys = a[4], b[4]
@@ -143,8 +174,9 @@ def match_trees(a: list, b: list) -> tuple[int, list]:
     while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi][5] == ys[-1 - hi][5]:
         hi += 1
     for x, y in [*zip(xs[:lo], ys[:lo]), *(zip(xs[-hi:], ys[-hi:]) if hi else ())]:
-        n, more = match_trees(x, y)
-        size, pairs = size + n, pairs + more
+        n, more = yield _match(x, y)
+        size += n
+        pairs.extend(more)
     xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
     if xs and ys:
         known = {}
@@ -154,7 +186,7 @@ def match_trees(a: list, b: list) -> tuple[int, list]:
                 here = 0
                 if x[0] == y[0]:
                     if (x[5], y[5]) not in known:
-                        known[x[5], y[5]] = match_trees(x, y)[0]
+                        known[x[5], y[5]] = (yield _match(x, y))[0]
                     here = best[i, j] + known[x[5], y[5]]
                 best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], here)
         i, j = len(xs), len(ys)
@@ -166,34 +198,38 @@ def match_trees(a: list, b: list) -> tuple[int, list]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs += match_trees(xs[i], ys[j])[1]
+                pairs.extend((yield _match(xs[i], ys[j]))[1])
     return size, pairs
 
 
-def varying_text(page: list, model: list) -> dict[str, int]:
-    """Characters of varying slots below each path: text that differs from the matched node's or has no match."""
-    _shape(page)
-    _shape(model)
+def below(path: str, tag: str) -> str:
+    """Name of the path that leads one node deeper, of one length at any depth."""
+    return xxhash.xxh3_128_hexdigest(f"{path}>{tag}")
+
+
+def varying_text(page: list, model: list) -> dict[tuple[int, str], int]:
+    """Characters of varying slots below each (depth, path): text that differs from the matched node's or has no match."""
+    page, model = grown(page), grown(model)
     constant = {id(a) for a, b in match_trees(page, model)[1] if a[2] == b[2]}
-    out: dict[str, int] = {}
-
-    def walk(node, path):
-        path = f"{path}>{node[0]}"
-        if node[1]:
-            return 0
-        n = (0 if id(node) in constant else node[3]) + sum(walk(c, path) for c in node[4])
-        if n and node[0] in BLOCKS and node[0] != "p":
-            out[path] = out.get(path, 0) + n
-        return n
-
-    walk(page, "")
+    out: dict[tuple[int, str], int] = {}
+    placed, stack = [], [(page, below("", page[0]), 1, -1)]
+    while stack:
+        node, path, deep, parent = stack.pop()
+        if not node[1]:
+            placed.append([node[0], path, deep, parent, 0 if id(node) in constant else node[3]])
+            stack.extend((c, below(path, c[0]), deep + 1, len(placed) - 1) for c in reversed(node[4]))
+    for tag, path, deep, parent, n in reversed(placed):
+        if parent >= 0:
+            placed[parent][4] += n
+        if n and tag in BLOCKS and tag != "p":
+            out[deep, path] = out.get((deep, path), 0) + n
     return out
 
 
 def find_container(root: Node, path: str | None) -> list[Node]:
     """Nodes at the host's content path; else articles, else main, else the whole page."""
     found: list[Node] = []
-    stack = [(root, ">" + root.tag)]
+    stack = [(root, below("", root.tag))]
     named: dict[str, list[Node]] = {"article": [], "main": []}
     while stack:
         node, at = stack.pop()
@@ -205,7 +241,7 @@ def find_container(root: Node, path: str | None) -> list[Node]:
             named[node.tag].append(node)
             if path is None:
                 continue
-        stack.extend((c, f"{at}>{c.tag}") for c in reversed(node.children()))
+        stack.extend((c, below(at, c.tag)) for c in reversed(node.children()))
     return found or named["article"] or named["main"] or [root]
 
 
@@ -222,7 +258,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     Blocks are joined by a line end, white space inside becomes one space. A null page
     gives an empty text; a null address is a host of its own; repeated rows are
-    extracted one by one; an empty table gives no rows.
+    extracted one by one; pages of any depth are fine; an empty table gives no rows.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
     host = F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
@@ -235,11 +271,11 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     def vote(batches):
         for batch in batches:
-            hosts, paths, sizes = [], [], []
+            hosts, deeps, paths, sizes = [], [], [], []
             for h, tree, model in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "model"))):
-                for path, n in varying_text(json.loads(tree), json.loads(model)).items():
-                    hosts.append(h), paths.append(path), sizes.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["host", "path", "n"])
+                for (deep, path), n in varying_text(json.loads(tree), json.loads(model)).items():
+                    hosts.append(h), deeps.append(deep), paths.append(path), sizes.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(deeps, pa.int32()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["host", "deep", "path", "n"])
 
     def extract(batches):
         for batch in batches:
@@ -250,8 +286,8 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     trees = cut_lineage(given.select("host", key, html).mapInArrow(outline, f"host string, id {kinds[key]}, tree string"))
     models = trees.groupBy("host").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "tree")).alias("x")).select("host", F.col("x.tree").alias("model"))
-    votes = trees.join(models, "host").select("host", "tree", "model").mapInArrow(vote, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    votes = trees.join(models, "host").select("host", "tree", "model").mapInArrow(vote, "host string, deep int, path string, n long").groupBy("host", "deep", "path").agg(F.sum("n").alias("n"))
     most = votes.groupBy("host").agg(F.max("n").alias("all"))
-    depth = F.struct(F.size(F.split("path", ">")).alias("deep"), "n", "path")
+    depth = F.struct("deep", "n", "path")
     chosen = votes.join(most, "host").filter(F.col("n") >= CONTENT_SHARE * F.col("all")).groupBy("host").agg(F.max(depth)["path"].alias("path"))
     return given.join(cut_lineage(chosen), "host", "left").select(key, url, html, "path").mapInArrow(extract, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")
