@@ -189,39 +189,56 @@ def p23(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select("event_id", F.round(C.dms_to_degrees(parts, ref), 9).alias("degrees"))
 
 
+DELAY = "2 days"
+LATE_MS = 10 * 86_400_000  # delay of the stream that gets late rows
+
 # --- streams ------------------------------------------------------------------------------------------------
 
-def drained(stream: DataFrame, spark: SparkSession, schema: str) -> DataFrame:
-    """Runs the stream over all available files into Parquet and returns the result table."""
+def drained(stream: DataFrame, spark: SparkSession, schema: str) -> tuple[DataFrame, int]:
+    """Runs the stream over all available files into Parquet; the result table and the number of late rows."""
     out, ckpt = work_path(spark, "stream-out"), work_path(spark, "stream-ckpt")
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    return spark.read.schema(schema).parquet(out), AP.late_rows(q)
 
 
-def replayed(spark: SparkSession, df: DataFrame) -> DataFrame:
+def replayed(spark: SparkSession, df: DataFrame, late: DataFrame | None = None) -> DataFrame:
+    """The table as a stream; `late` comes after all of it, and a row of no session at last, far ahead, moves the watermark past everything."""
     path = work_path(spark, "stream-in")
-    SV.replay(df, path, "utc_ms", "session_id")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
-
-
-# Sessions here span days of scaled clock, so the watermark allows the whole span.
-DELAY = "2 days"
+    if late is None:
+        SV.replay(df, path, "utc_ms", "session_id")
+    else:  # one file per batch, so that the watermark has passed the table when the late rows come
+        df.coalesce(1).write.parquet(path)
+    end = df.agg((F.max("utc_ms") + 10**12).alias("utc_ms")).select(*[
+        (F.col(f.name) if f.name == "utc_ms" else F.lit(-1).cast(f.dataType) if f.name == "session_id" else F.lit(0 if f.name == "seq" else None).cast(f.dataType)).alias(f.name) for f in df.schema])
+    for more in ([late] if late is not None else []) + [end]:
+        more.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8 if late is None else 1).parquet(path)
 
 
 @query("X1_variance_stream", f"WITH {TR.SQL_IMU} SELECT session_id, seq, round(variance, 7) AS variance, enough FROM var", ("v_track",))
 def x1(spark, sf_dir):
     stream = replayed(spark, TR.imu(spark, sf_dir).drop("pts_ms"))
-    out = drained(AP.variance_stream(stream, TR.MOTION, DELAY, 10**9), spark, AP.VARIANCE_SCHEMA)
+    out, _ = drained(AP.variance_stream(stream, TR.MOTION, DELAY, 10**9), spark, AP.VARIANCE_SCHEMA)
     return out.select("session_id", "seq", F.round("variance", 7).alias("variance"), "enough")
 
 
+@query("X1_late_rows", f"""WITH s AS (SELECT * FROM v_track WHERE point_id % 4 <> 3), e AS (SELECT max(utc_ms) - {LATE_MS} AS seen FROM s)
+    SELECT 'dropped as late' AS rows, count(*) FILTER (utc_ms <= seen) AS n FROM s, e UNION ALL SELECT 'handled', count(*) + count(*) FILTER (utc_ms > seen) FROM s, e""", ("v_track",))
+def x1_late(spark, sf_dir):
+    """All samples come once more after the stream has seen them; only those within the delay of the newest are still taken."""
+    imu = TR.imu(spark, sf_dir).drop("pts_ms")
+    late = imu.withColumn("seq", F.col("seq") + 1_000_000_000)
+    out, dropped = drained(AP.variance_stream(replayed(spark, imu, late), TR.MOTION, f"{LATE_MS} milliseconds", 10**9), spark, AP.VARIANCE_SCHEMA)
+    return out.agg(F.lit("dropped as late").alias("rows"), F.lit(dropped).cast("bigint").alias("n")).unionAll(out.agg(F.lit("handled"), F.count(F.lit(1))))
+
+
 @query("X2_auto_pause_stream", f"WITH {TR.SQL_PAUSE} SELECT session_id, seq, kind, stationary, paused, segment FROM paused", ("v_track",))
 def x2_stream(spark, sf_dir):
     none = F.lit(None).cast("double")
     m = TR.imu(spark, sf_dir).select("session_id", "utc_ms", "seq", F.lit("imu").alias("kind"), "ax", "ay", "az", none.alias("speed_mps"))
     g = TR.gps(spark, sf_dir).select("session_id", "utc_ms", "seq", F.lit("gps").alias("kind"), none.alias("ax"), none.alias("ay"), none.alias("az"), "speed_mps")
-    out = drained(AP.pause_stream(replayed(spark, m.unionByName(g)), TR.MOTION, DELAY, 10**9), spark, AP.PAUSE_SCHEMA)
+    out, _ = drained(AP.pause_stream(replayed(spark, m.unionByName(g)), TR.MOTION, DELAY, 10**9), spark, AP.PAUSE_SCHEMA)
     return out.select("session_id", "seq", "kind", "stationary", "paused", "segment")
 
 
