@@ -162,6 +162,14 @@ def match_trees(a: list, b: list) -> tuple[int, list]:
     return unrolled(_match(a, b))
 
 
+def _alike(a: list, b: list) -> list:
+    """The node pairs of two trees of one shape."""
+    pairs = [(a, b)]
+    for x, y in pairs:
+        pairs.extend(zip(x[4], y[4]))
+    return pairs
+
+
 def _match(a: list, b: list):
     if a[0] != b[0]:
         return 0, []
@@ -174,8 +182,8 @@ def _match(a: list, b: list):
     while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi][5] == ys[-1 - hi][5]:
         hi += 1
     for x, y in [*zip(xs[:lo], ys[:lo]), *(zip(xs[-hi:], ys[-hi:]) if hi else ())]:
-        n, more = yield _match(x, y)
-        size += n
+        more = _alike(x, y)
+        size += len(more)
         pairs.extend(more)
     xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
     if xs and ys:
