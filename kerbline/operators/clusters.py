@@ -154,15 +154,22 @@ def survey_clusters(df: DataFrame, vector: str = "embedding", seed: int = 42, st
 
 
 def project_2d(tables: dict[str, DataFrame], vector: str = "embedding") -> DataFrame:
-    """Two principal components fitted over all tables; each row keeps its table as `mode`."""
+    """Two principal components fitted over all tables; each row keeps its table as `mode`.
+
+    Of each component the largest loading (the first of equals) is positive, so that
+    the picture does not flip between runs.
+    """
     out = None
     for mode, df in tables.items():
         part = df.withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     rows = with_features(out, vector)
     xy = vector_to_array(F.col("_xy"))
-    fitted = PCA(k=2, inputCol="features", outputCol="_xy").fit(rows).transform(rows)
-    return fitted.withColumn("x", xy[0].cast("float")).withColumn("y", xy[1].cast("float")).drop("features", "_xy")
+    model = PCA(k=2, inputCol="features", outputCol="_xy").fit(rows)
+    loadings = model.pc.toArray()
+    signs = [1.0 if loadings[np.abs(loadings[:, i]).argmax(), i] >= 0 else -1.0 for i in range(2)]
+    fitted = model.transform(rows)
+    return fitted.withColumn("x", (xy[0] * signs[0]).cast("float")).withColumn("y", (xy[1] * signs[1]).cast("float")).drop("features", "_xy")
 
 
 def dense_head(

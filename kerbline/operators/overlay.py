@@ -191,7 +191,7 @@ def session_list(log: DataFrame, key: str = "session_id", started: str = "starte
 
     `log` holds one row per save or delete; of a key the row with the highest version
     counts, whatever order they arrive in. Sessions that started together are listed
-    latest save first, then by key. The list is numbered in chunks when it is long.
+    latest save first, then by key; an unknown start counts as the newest. The list is numbered in chunks when it is long.
     """
     last = log.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), version).alias("_r")).select(key, "_r.*")
     alive = last.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,27 +80,28 @@ PROBLEM_QUALITY = 4
 # --- end of fixed values ------------------------------------------------------
 
 
-def _matched_ids(rules: list[Rule], *leading: Column) -> Column:
-    return F.array_compact(F.array(*leading, *[F.when(r.matches(), F.lit(r.id)) for r in rules]))
+def _with_hits(frames: DataFrame, rules: list[Rule], rank: Callable[[Rule], int]) -> DataFrame:
+    """Adds `_hits`: id and rank of every matching rule, so that each predicate is evaluated once."""
+    hits = [F.when(r.matches(), F.struct(F.lit(r.id).alias("id"), F.lit(rank(r)).alias("rank"))) for r in rules]
+    return frames.withColumn("_hits", F.array_compact(F.array(*hits)))
 
 
 def condition_grade(frames: DataFrame) -> DataFrame:
     """Grade is the largest floor of all matching rules; expects `quality_grade`, signals, geometry."""
     quality = F.col("quality_grade")
-    floors = [F.when(r.matches(), F.lit(r.outcome)) for r in GRADE_RULES]
-    grade = F.greatest(F.coalesce(quality, F.lit(DEFAULT_GRADE)), *floors)
-    baseline = F.when(quality.isNotNull(), F.lit("quality_baseline"))
-    return frames.withColumn("applied_condition_rules", _matched_ids(GRADE_RULES, baseline)).withColumn(
+    out = _with_hits(frames, GRADE_RULES, lambda r: r.outcome)
+    grade = F.greatest(F.coalesce(quality, F.lit(DEFAULT_GRADE)), F.array_max(F.transform("_hits", lambda h: h["rank"])))
+    baseline = F.array_compact(F.array(F.when(quality.isNotNull(), F.lit("quality_baseline"))))
+    return out.withColumn("applied_condition_rules", F.concat(baseline, F.transform("_hits", lambda h: h["id"]))).withColumn(
         "overall_condition_grade", F.least(F.greatest(grade, F.lit(1)), F.lit(5)).cast("int")
-    )
+    ).drop("_hits")
 
 
 def repair_priority(frames: DataFrame) -> DataFrame:
-    ranks = [F.when(r.matches(), F.lit(vocab.PRIORITIES.index(r.outcome))) for r in PRIORITY_RULES]
+    out = _with_hits(frames, PRIORITY_RULES, lambda r: vocab.PRIORITIES.index(r.outcome))
     names = F.array(*map(F.lit, vocab.PRIORITIES))
-    return frames.withColumn("applied_repair_rules", _matched_ids(PRIORITY_RULES)).withColumn(
-        "repair_priority", F.element_at(names, F.greatest(F.lit(0), *ranks) + 1)
-    )
+    rank = F.greatest(F.lit(0), F.array_max(F.transform("_hits", lambda h: h["rank"])))
+    return out.withColumn("applied_repair_rules", F.transform("_hits", lambda h: h["id"])).withColumn("repair_priority", F.element_at(names, rank + 1)).drop("_hits")
 
 
 def with_geometry(frames: DataFrame, mm_per_pixel: float | None = None) -> DataFrame:

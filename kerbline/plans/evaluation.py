@@ -298,6 +298,26 @@ def l3(spark, sf_dir):
     return CL.project_2d(parts).select("image_id", "mode", "x", "y")
 
 
+@query("L3_projection_checks", """SELECT 'rows' AS check, count(*) AS value FROM v_embed UNION ALL SELECT 'modes', 4 UNION ALL SELECT 'axes that correlate', 0 UNION ALL SELECT 'axes out of the order of variance', 0
+    UNION ALL SELECT 'components that vary more than the first axis', 0 UNION ALL SELECT 'axes against the sign rule', 0""", ("v_embed",))
+def l3_checks(spark, sf_dir):
+    """What holds of two principal axes: no correlation, variances in order and above that of any single component, largest loading positive.
+
+    A loading has the sign of the covariance of its axis with the component, and its size is in proportion to it.
+    """
+    e = views.v_embed(spark, sf_dir)
+    parts = {m: e.where(F.col("image_id") % 4 == i) for i, m in enumerate(["labeled", "unlabeled", "defect", "survey"])}
+    p = cut_lineage(CL.project_2d(parts))
+    one = p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mode").alias("m"), F.abs(F.corr("x", "y")).alias("c"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"))
+    long = p.select("x", "y", F.posexplode("embedding").alias("d", "v")).groupBy("d").agg(F.var_samp("v").alias("v"), F.covar_samp("x", "v").alias("cx"), F.covar_samp("y", "v").alias("cy"))
+    far = long.agg(F.max("v").alias("v"), *[F.max_by(c, F.abs(F.col(c))).alias(c) for c in ("cx", "cy")])
+    wrong = lambda bad: F.count_if(bad).cast("bigint")
+    both = one.crossJoin(F.broadcast(far))  # one row each
+    checks = [("rows", F.max("n")), ("modes", F.max("m")), ("axes that correlate", wrong(F.col("c") > 1e-5)), ("axes out of the order of variance", wrong(F.col("vx") < F.col("vy"))),
+              ("components that vary more than the first axis", wrong(F.col("v") > F.col("vx") * (1 + 1e-5))), ("axes against the sign rule", wrong((F.col("cx") < 0) | (F.col("cy") < 0)))]
+    return reduce(DataFrame.unionAll, [both.agg(F.lit(name).alias("check"), value.cast("bigint").alias("value")) for name, value in checks])
+
+
 HIDDEN = 8
 
 

@@ -142,3 +142,24 @@ def test_silhouette_with_labels_in_slices(spark):
         assert whole == pytest.approx(np.mean(want)) and silhouette(df, "label").first()[0] == pytest.approx(whole)
     finally:
         spark.conf.unset("kerbline.maxBroadcastBytes")
+
+
+def test_deep_pages_skip_whole_chunks(spark, rows, monkeypatch):
+    """Every page of a cut table, across chunks, beyond the end, and where one value fills several chunks."""
+    spark.conf.set("kerbline.maxRowsPerTask", "25")
+    try:
+        ids = [r["id"] for r in rows.orderBy("t", "id").collect()]
+        for offset, limit in ((0, 10), (33, 40), (len(ids) // 2, 7), (len(ids) - 5, 10), (len(ids), 10), (5, 0), (0, len(ids))):
+            assert [r["id"] for r in O.page(rows, ["t", "id"], offset, limit).collect()] == ids[offset : offset + limit]
+        alike = rows.withColumn("same", F.lit(1))
+        assert O.page(alike, ["same"], 100, 20).count() == min(20, max(0, len(ids) - 100))
+    finally:
+        spark.conf.unset("kerbline.maxRowsPerTask")
+
+
+def test_next_valid_is_linear_in_the_group(spark):
+    """A frame that ends with its partition would take minutes here."""
+    df = spark.range(60_000).withColumn("v", F.when(F.col("id") % 20_000 == 19_999, F.col("id")))
+    layout = O.KeyProfile.of(df).layout(df, ["id"])
+    got = layout.scan(df, n=O.next_valid("v")).agg(F.sum("n"), F.count("n")).first()
+    assert tuple(got) == (20_000 * (19_999 + 39_999 + 59_999), 60_000)
