@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ CONTEXT = 6
 PRIOR = 1.0
 #: Bits that tell most terms without risk before the rest is joined; a multiple of 64.
 BITS = 1 << 26
+#: Text that a task takes apart at once, and words whose term a worker remembers.
+SLICE_BYTES, REMEMBERED = 2 << 20, 1 << 17
 #: Share of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -83,6 +86,12 @@ def _h64(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode()) - (1 << 63)
 
 
+@lru_cache(REMEMBERED)
+def term_number(word: str) -> int:
+    """Number of the word's term, 0 without one."""
+    return _h64(t) if (t := term(word)) else 0
+
+
 def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(term, start, end) of every word outside all mentions, in text order; a word without a term has term 0."""
     parts, done = [], 0
@@ -91,12 +100,10 @@ def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int
             start = max(start, done)
             parts += [text[done:start], " " * (end - start)]
             done = end
-    out, known = [], {}
+    out = []
     for m in _WORD.finditer("".join([*parts, text[done:]])):
         word = m[0]
-        if word not in known:
-            known[word] = _h64(t) if (t := term(word)) else 0
-        out.append((known[word], m.start() + len(word) - len(word.lstrip(_EDGE)), m.start() + len(word.rstrip(_EDGE))))
+        out.append((term_number(word), m.start() + len(word) - len(word.lstrip(_EDGE)), m.start() + len(word.rstrip(_EDGE))))
     return out
 
 
@@ -133,7 +140,7 @@ def _found(assessments: DataFrame, key: str, text: str) -> DataFrame:
 
     def find(batches):
         for batch in batches:
-            for part in tx.slices(batch, text):
+            for part in tx.slices(batch, text, SLICE_BYTES):
                 rows = []
                 for value in tx.plain(part.column(text)).to_pylist():
                     spans = base_spans(value)
@@ -153,7 +160,7 @@ def _pairs(assessments: DataFrame, text: str) -> DataFrame:
 
     def find(batches):
         for batch in batches:
-            for part in tx.slices(batch, text):
+            for part in tx.slices(batch, text, SLICE_BYTES):
                 for value in tx.plain(part.column(text)).to_pylist():
                     for e, terms, least in together(value, spans) if (spans := base_spans(value)) else ():
                         t, d = np.append(terms, 0), np.append(least, 0)
@@ -167,9 +174,9 @@ def _term_counts(assessments: DataFrame, text: str) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            for part in tx.slices(batch, text):
+            for part in tx.slices(batch, text, SLICE_BYTES):
                 codes, at, distinct = tx.words(tx.plain(part.column(text)))
-                names = np.array([_h64(t) if (t := term(w)) else 0 for w in distinct.to_pylist()], np.int64)
+                names = np.array([term_number(w) for w in distinct.to_pylist()], np.int64)
                 terms, back = np.unique(names, return_inverse=True)
                 pair = np.repeat(np.arange(part.num_rows), np.diff(at)) * max(len(terms), 1) + (back[codes] if len(codes) else 0)
                 n = np.bincount(np.unique(pair) % max(len(terms), 1), minlength=len(terms))
@@ -214,12 +221,17 @@ def _set(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return (terms != 0) & ((bits[place // 64] >> (place % 64)) & 1 == 1)
 
 
-def _suspects(texts: pa.Array, bits: np.ndarray) -> np.ndarray:
-    """Which texts hold personal data or a word that may be a risky term."""
+def _marked(texts: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which texts hold a word that may be a risky term."""
     codes, at, distinct = tx.words(texts)
-    names = np.array([_h64(t) if (t := term(w)) else 0 for w in distinct.to_pylist()], np.int64)
+    names = np.array([term_number(w) for w in distinct.to_pylist()], np.int64)
     before = np.concatenate([[0], np.cumsum(_set(bits, names)[codes] if len(codes) else np.zeros(0, np.int64))])
-    return (before[at[1:]] > before[at[:-1]]) | np.array([bool(base_spans(t)) for t in texts.to_pylist()], bool)
+    return before[at[1:]] > before[at[:-1]]
+
+
+def _suspects(texts: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which texts hold personal data or a word that may be a risky term."""
+    return np.array([m or bool(base_spans(t)) for m, t in zip(_marked(texts, bits).tolist(), texts.to_pylist())], bool)
 
 
 def _judged(assessments: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
@@ -230,9 +242,9 @@ def _judged(assessments: DataFrame, key: str, text: str) -> tuple[DataFrame, np.
 
     def find(batches):
         for batch in batches:
-            for part in tx.slices(batch, text):
+            for part in tx.slices(batch, text, SLICE_BYTES):
                 texts = tx.plain(part.column(text))
-                for value in texts.filter(pa.array(_suspects(texts, bits))).to_pylist():
+                for value in texts.filter(pa.array(_marked(texts, bits))).to_pylist():
                     words = outside(value, base_spans(value))
                     t = np.array([w[0] for w in words], np.int64)
                     some = np.flatnonzero(_set(bits, t))
@@ -287,12 +299,12 @@ def sanitize(assessments: DataFrame, key: str = "frame_index", text: str = "rati
 
     def without(batches):
         for batch in batches:
-            for part in tx.slices(batch, text):
+            for part in tx.slices(batch, text, SLICE_BYTES):
                 yield part.filter(pa.array(~_suspects(tx.plain(part.column(text)), bits)))
 
     def having(batches):
         for batch in batches:
-            for part in tx.slices(batch, text):
+            for part in tx.slices(batch, text, SLICE_BYTES):
                 texts = tx.plain(part.column(text))
                 found = [_whole(t) if s else None for t, s in zip(texts.to_pylist(), _suspects(texts, bits))]
                 wide = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), part.to_struct_array()], names=["whole", "one"])
