@@ -35,6 +35,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^ \t-\r]+")
+_BLANK = " \t\n\x0b\x0c\r"
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
@@ -92,18 +93,39 @@ def term_number(word: str) -> int:
     return _h64(t) if (t := term(word)) else 0
 
 
-def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(term, start, end) of every word outside all mentions, in text order; a word without a term has term 0."""
+def blanked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with spaces in the place of all mentions."""
     parts, done = [], 0
     for start, _, end in spans:
         if end > done:
             start = max(start, done)
             parts += [text[done:start], " " * (end - start)]
             done = end
+    return "".join([*parts, text[done:]])
+
+
+def edges(word: str, at: int) -> tuple[int, int]:
+    """Where a word at place `at` begins and ends without ASCII punctuation at its ends."""
+    return at + len(word) - len(word.lstrip(_EDGE)), at + len(word.rstrip(_EDGE))
+
+
+def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(term, start, end) of every word outside all mentions, in text order; a word without a term has term 0."""
+    return [(term_number(m[0]), *edges(m[0], m.start())) for m in _WORD.finditer(blanked(text, spans))]
+
+
+def marked_words(text: str, spans: list[tuple[int, int, int]], bits: np.ndarray) -> list[tuple[int, int, int]]:
+    """Those entries of `outside` whose bit is set, in any order: only the places of such words are looked up."""
+    rest = blanked(text, spans)
+    words = list(set(_WORD.findall(rest)))
+    terms = np.array([term_number(w) for w in words], np.int64)
     out = []
-    for m in _WORD.finditer("".join([*parts, text[done:]])):
-        word = m[0]
-        out.append((term_number(word), m.start() + len(word) - len(word.lstrip(_EDGE)), m.start() + len(word.rstrip(_EDGE))))
+    for i in np.flatnonzero(_set(bits, terms)):
+        word, at = words[i], -1
+        while (at := rest.find(word, at + 1)) >= 0:
+            stop = at + len(word)
+            if (at == 0 or rest[at - 1] in _BLANK) and (stop == len(rest) or rest[stop] in _BLANK):
+                out.append((int(terms[i]), *edges(word, at)))
     return out
 
 
@@ -245,11 +267,9 @@ def _judged(assessments: DataFrame, key: str, text: str) -> tuple[DataFrame, np.
             for part in tx.slices(batch, text, SLICE_BYTES):
                 texts = tx.plain(part.column(text))
                 for value in texts.filter(pa.array(_marked(texts, bits))).to_pylist():
-                    words = outside(value, base_spans(value))
-                    t = np.array([w[0] for w in words], np.int64)
-                    some = np.flatnonzero(_set(bits, t))
-                    if len(some):
-                        yield pa.RecordBatch.from_arrays([pa.array([_whole(value)] * len(some)), pa.array(t[some]), pa.array([words[i][1] for i in some], pa.int32()), pa.array([words[i][2] for i in some], pa.int32())], names=["whole", "t", "a", "b"])
+                    if hits := marked_words(value, base_spans(value), bits):
+                        t, a, b = zip(*hits)
+                        yield pa.RecordBatch.from_arrays([pa.array([_whole(value)] * len(t)), pa.array(t, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["whole", "t", "a", "b"])
 
     hits = assessments.select(text).mapInArrow(find, "whole string, t long, a int, b int").distinct().join(risky, "t")
     hits = hits.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("a", "removed", "b"))).alias("terms"))
